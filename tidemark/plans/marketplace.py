@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import e4, label_key, micros, ref_key
-from tidemark.operators import feature_table, hierarchy, orphans
+from tidemark.functions.keys import e4, label_key, ref_key
+from tidemark.operators import feature_table, hierarchy, history, orphans
 from tidemark.sources.tables import table
 
 ORDER_STATUSES = ("PENDING", "PAID", "PROCESSING", "SHIPPED", "DELIVERED", "CANCELLED")
@@ -80,4 +80,12 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.broken_reference_counts(*_references(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p2_features": p2_features, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p6_found": p6_found, "p6_counts": p6_counts}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every version of price and status of each product with the time it held."""
+    payload = {"price_e4": e4("price"), "status": label_key("status")}
+    snapshot = F.date_format("processing_date", "yyyy-MM")
+    versions = history.version_history(table(spark, d, "products"), ref_key("product_id"), F.col("updated_at"), F.col("processed_at"), snapshot, payload, F.col("deleted_at"))
+    return versions.withColumnRenamed("entity", "product_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_features": p2_features, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found}

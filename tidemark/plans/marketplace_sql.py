@@ -73,4 +73,17 @@ LEFT JOIN (SELECT top, count(*) AS n FROM reach WHERE top <> id GROUP BY top) r
     "p3_descendants": _TREE + "SELECT root AS root_category_id, id AS category_id FROM down WHERE depth > 0",
     "p6_found": _BROKEN + "SELECT * FROM broken WHERE problem IS NOT NULL",
     "p6_counts": _BROKEN + "SELECT table_name, field_name, problem, created_month, count(*) AS n FROM broken WHERE problem IS NOT NULL GROUP BY ALL",
+    "p7_found": f"""
+WITH rows AS (
+  SELECT {ref('product_id')} AS product_id, epoch_us(updated_at) AS us, CAST(price * 10000 AS BIGINT) AS price_e4, upper(trim(status, ' \t\r\n')) AS status,
+         row_number() OVER (PARTITION BY {ref('product_id')}, updated_at ORDER BY processed_at DESC) AS rn
+  FROM products
+), steps AS (
+  SELECT *, lag(us) OVER w AS prev_us, lag(price_e4) OVER w AS prev_price, lag(status) OVER w AS prev_status
+  FROM rows WHERE rn = 1 WINDOW w AS (PARTITION BY product_id ORDER BY us)
+), starts AS (
+  SELECT * FROM steps WHERE prev_us IS NULL OR price_e4 IS DISTINCT FROM prev_price OR status IS DISTINCT FROM prev_status
+), gone AS (SELECT {ref('product_id')} AS product_id, min(epoch_us(deleted_at)) AS gone FROM products GROUP BY 1)
+SELECT s.product_id, us AS valid_from_us, coalesce(lead(us) OVER (PARTITION BY s.product_id ORDER BY us), gone, -1) AS valid_to_us, price_e4, status
+FROM starts s JOIN gone USING (product_id)""",
 }
