@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import e4, label_key, ref_key
-from tidemark.operators import feature_table, hierarchy, history, orphans
+from tidemark.operators import cdc_apply, changes, dedup_index, feature_table, hierarchy, history, orphans
+from tidemark.session import scratch
 from tidemark.sources.tables import table
 
 ORDER_STATUSES = ("PENDING", "PAID", "PROCESSING", "SHIPPED", "DELIVERED", "CANCELLED")
@@ -88,4 +89,45 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return versions.withColumnRenamed("entity", "product_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_features": p2_features, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found}
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    keys = changes.key_fields(table(spark, d, "entity_fields"))
+    return changes.with_row_key(table(spark, d, "cdc_changes"), keys)
+
+
+def _applied(spark: SparkSession, d: str, payload: bool) -> cdc_apply.UpsertTable:
+    total = table(spark, d, "cdc_changes").count()
+    target = cdc_apply.UpsertTable(spark, scratch(spark, "upsert"))
+    target.apply(cdc_apply.normalize_changes(_changes(spark, d), payload), total)
+    return target
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The keys alive after all changes, with the position of the change that set them."""
+    rows = _applied(spark, d, payload=False).rows()
+    return rows.select(F.col("source").alias("source_db"), "entity", "row_key", F.col("seq").alias("lsn"))
+
+
+def p4_state(spark: SparkSession, d: str) -> DataFrame:
+    """The current rows themselves, as the record that set them."""
+    rows = _applied(spark, d, payload=True).rows()
+    return rows.select(F.col("source").alias("source_db"), "entity", "row_key", F.col("seq").alias("lsn"), F.col("payload").alias("record"))
+
+
+DELIVERIES = 4
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that repeat a change already received, four deliveries in turn."""
+    landed = _changes(spark, d)
+    ids = [F.col("source_db"), F.col("entity"), F.col("lsn"), F.col("row_key")]
+    low, high = table(spark, d, "cdc_changes").agg(F.min("arrival_id"), F.max("arrival_id")).first()
+    if low is None:
+        return spark.createDataFrame([], "arrival_id long")
+    width = (high - low) // DELIVERIES + 1
+    at = F.col("arrival_id")
+    parts = [landed.where(F.col("complete") & (at >= low + i * width) & (at < low + (i + 1) * width)) for i in range(DELIVERIES)]
+    found = dedup_index.repeated_rows(parts, ids, at, scratch(spark, "ids"))
+    return found.withColumnRenamed("row_id", "arrival_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_features": p2_features, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p4_found": p4_found, "p4_state": p4_state, "p5_found": p5_found}

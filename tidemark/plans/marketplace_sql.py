@@ -59,6 +59,20 @@ WITH child AS (
 )
 """
 
+_KEYED = """
+WITH keyed AS (
+  SELECT c.*, json_extract_string(c.record, '$."' || k.field_name || '"') AS row_key
+  FROM (SELECT * FROM cdc_changes WHERE record IS NULL OR json_valid(record)) c
+  LEFT JOIN (SELECT entity, field_name FROM entity_fields WHERE is_row_key) k ON c.entity = k.entity
+)
+"""
+
+_STATE = _KEYED + """, last AS (
+  SELECT *, row_number() OVER (PARTITION BY source_db, entity, row_key ORDER BY source_ts_ms DESC NULLS LAST, lsn DESC NULLS LAST, op = 'd' DESC, record DESC) AS rn
+  FROM keyed WHERE op IN ('r', 'c', 'u', 'd') AND row_key IS NOT NULL
+)
+"""
+
 ORACLES = {
     "p2_found": _ORDERS + "SELECT customer AS customer_id, status, n AS n_orders, total AS total_e4, last_us AS last_created_us FROM stats",
     "p2_features": _ORDERS
@@ -86,4 +100,7 @@ WITH rows AS (
 ), gone AS (SELECT {ref('product_id')} AS product_id, min(epoch_us(deleted_at)) AS gone FROM products GROUP BY 1)
 SELECT s.product_id, us AS valid_from_us, coalesce(lead(us) OVER (PARTITION BY s.product_id ORDER BY us), gone, -1) AS valid_to_us, price_e4, status
 FROM starts s JOIN gone USING (product_id)""",
+    "p4_found": _STATE + "SELECT source_db, entity, row_key, lsn FROM last WHERE rn = 1 AND op <> 'd'",
+    "p4_state": _STATE + "SELECT source_db, entity, row_key, lsn, record FROM last WHERE rn = 1 AND op <> 'd'",
+    "p5_found": _KEYED + "SELECT arrival_id FROM (SELECT arrival_id, row_number() OVER (PARTITION BY source_db, entity, lsn, row_key ORDER BY arrival_id) AS rn FROM keyed) WHERE rn > 1",
 }

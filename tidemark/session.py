@@ -8,8 +8,12 @@ folder ourselves.
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,3 +81,22 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all working files of this application; call when results are written."""
     drop_path(spark, f"{shared_dir(spark)}/tidemark-work/{spark.sparkContext.applicationId}")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), f"{root.name}.zip")
+    Path(path).write_bytes(body.getvalue())
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
