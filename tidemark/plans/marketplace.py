@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import e4, label_key, ref_key
-from tidemark.operators import cdc_apply, changes, dedup_index, feature_table, hierarchy, history, orphans
+from tidemark.operators import cdc_apply, changes, dedup_index, feature_table, hierarchy, history, orphans, schema_drift
 from tidemark.session import scratch
 from tidemark.sources.tables import table
 
@@ -130,4 +130,23 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumnRenamed("row_id", "arrival_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_features": p2_features, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p4_found": p4_found, "p4_state": p4_state, "p5_found": p5_found}
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    counted = _changes(spark, d).where(F.col("op").isin(*schema_drift.ROW_OPS) & F.col("variant").isNotNull() & F.col("lsn").isNotNull())
+    return counted.select(F.col("source_db").alias("source"), "entity", F.col("lsn").alias("seq"), "row_key", "record")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every field added, removed, renamed or retyped."""
+    events = schema_drift.drift_events(_records(spark, d))
+    return events.select(F.col("source").alias("source_db"), "entity", "change_kind", "field_name", "new_name", F.col("seq").alias("first_lsn"))
+
+
+def _unified(entity: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return schema_drift.unify(_records(spark, d), table(spark, d, "entity_fields"), entity)
+
+    query.__doc__ = f"All complete {entity} records in one consistent table."
+    return query
+
+
+QUERIES = {"p2_found": p2_found, "p2_features": p2_features, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p4_found": p4_found, "p4_state": p4_state, "p5_found": p5_found, "p1_found": p1_found, **{f"p1_{e}_table": _unified(e) for e in ("orders", "products", "payments", "shipments", "inventories", "reviews")}}
