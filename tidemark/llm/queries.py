@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import spam, tokenize
+from tidemark.llm import leakage, spam, tokenize
 from tidemark.sources.tables import table
 
 
@@ -18,9 +18,14 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.decode_corpus(p8_ids(spark, d), "doc_id")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold passages of evaluation items, and the items."""
+    return leakage.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages of repeated keywords, links or tags."""
     return spam.stuffed_pages(table(spark, d, "documents"), "doc_id", "text", "lang").select("doc_id")
 
 
-QUERIES = {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p10_found": p10_found}
+QUERIES = {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p10_found": p10_found}

@@ -107,8 +107,8 @@ def _packed(text: str) -> int:
     return max(1, len(zlib.compress(text.encode("utf-8", "replace"), 6)) - 8)
 
 
-def measure(text: str) -> list[tuple[int, int, int, int, int, int]]:
-    """(chars, raw bytes, shape bytes, words, sentences, spam chars) of each block of a text."""
+def measure(text: str) -> list[tuple[int, int, int, int, int]]:
+    """(chars, raw bytes, shape bytes, sentences, spam chars) of each block of a text."""
     units = []
     counts: Counter = Counter()
     total = 0
@@ -119,17 +119,16 @@ def measure(text: str) -> list[tuple[int, int, int, int, int, int]]:
         words = [w.lower() for w in _WORD.findall(rest)]
         counts.update(w for w in words if w not in FUNCTION_WORDS and w not in NEUTRAL_WORDS and not any(c.isdigit() for c in w))
         total += len(words)
-        units.append((raw, rest, words, sum(len(m.group()) for m in _LINK.finditer(raw)), len(_LINK.findall(raw))))
+        units.append((raw, rest, words, sum(len(m.group()) for m in _LINK.finditer(raw))))
     dominating = {w for w, c in counts.items() if c >= 4 and c >= 0.08 * total}
     blocks, held = [], []
 
     def close() -> None:
         whole = "\n".join(u[0] for u, _ in held)
-        words = sum(len(u[2]) + u[4] for u, _ in held)
         ends = sum(k == "sentence" and bool(_END.search(u[0])) for u, k in held)
         spam = sum(len(u[0].strip()) for u, k in held if k in ("link", "stuffed", "tags"))
         chars = sum(len(u[0].strip()) for u, _ in held)
-        blocks.append((chars, _packed(whole), _packed("\n".join(_shape(u[0]) for u, _ in held)), words, ends, spam))
+        blocks.append((chars, _packed(whole), _packed("\n".join(_shape(u[0]) for u, _ in held)), ends, spam))
         held.clear()
 
     size = 0
@@ -144,30 +143,28 @@ def measure(text: str) -> list[tuple[int, int, int, int, int, int]]:
     return blocks
 
 
-_MEASURED = pa.schema([("row", pa.int64()), ("lang", pa.string()), ("size_class", pa.int32()), ("chars", pa.int64()), ("raw", pa.float64()), ("shape", pa.float64()), ("words", pa.int64()), ("sentences", pa.int64()), ("spam", pa.int64())])
+_BLOCKS = pa.list_(pa.struct([("size_class", pa.int32()), ("chars", pa.int64()), ("raw", pa.float64()), ("shape", pa.float64()), ("sentences", pa.int64()), ("spam", pa.int64())]))
 
 
 def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for row, lang, text in zip(*[c.to_pylist() for c in b.columns]):
-            for chars, raw, shape, words, ends, spam in measure(text):
-                out.append((row, lang, int(2 * math.log2(max(min(chars, BLOCK), 1))), chars, raw / max(chars, 1), shape / max(chars, 1), words, ends, spam))
-        columns = list(zip(*out)) if out else [[]] * len(_MEASURED)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _MEASURED)], schema=_MEASURED)
-
-
-def block_measures(docs: DataFrame, row: str, text: str, lang: str) -> DataFrame:
-    """A row of numbers per block; texts are read once, whole."""
-    rows = docs.select(F.col(row).cast("long").alias("row"), F.lower(F.btrim(F.coalesce(F.col(lang), F.lit("")))).alias("lang"), F.col(text).alias("text")).where(F.length(F.btrim("text")) > 0)
-    kinds = "row long, lang string, size_class int, chars long, raw double, shape double, words long, sentences long, spam long"
-    return materialize(rows.mapInArrow(_measure_batches, kinds), "spam-blocks")
+        for text in b.column(2).to_pylist():
+            found = []
+            for chars, raw, shape, ends, spam in measure(text):
+                found.append({"size_class": int(2 * math.log2(max(min(chars, BLOCK), 1))), "chars": chars, "raw": raw / max(chars, 1), "shape": shape / max(chars, 1), "sentences": ends, "spam": spam})
+            out.append(found)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, _BLOCKS)], ["key", "lang", "blocks"])
 
 
 def stuffed_pages(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """(key, share): the rows whose text is made of keywords, links or tags, and to what share."""
-    numbered = materialize(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).withColumn("row", F.monotonically_increasing_id()), "spam-texts")
-    blocks = block_measures(numbered, "row", "text", "lang")
+    rows = docs.select(F.col(key).alias("key"), F.lower(F.btrim(F.coalesce(F.col(lang), F.lit("")))).alias("lang"), F.col(text).alias("text")).where(F.length(F.btrim("text")) > 0)
+    kind = rows.schema["key"].dataType.simpleString()
+    # Texts are read once, whole; what is written are numbers. Keys may repeat, so rows are numbered.
+    measured = rows.mapInArrow(_measure_batches, f"key {kind}, lang string, blocks array<struct<size_class:int,chars:bigint,raw:double,shape:double,sentences:bigint,spam:bigint>>")
+    numbered = materialize(measured.withColumn("row", F.monotonically_increasing_id()), "spam-blocks")
+    blocks = numbered.select("row", "lang", F.inline("blocks"))
     # The usual ratios: one row per language and length class.
     usual = blocks.groupBy("lang", "size_class").agg(F.percentile_approx("raw", 0.5, 1000).alias("usual_raw"), F.percentile_approx("shape", 0.5, 1000).alias("usual_shape"))
     judged = blocks.join(usual, ["lang", "size_class"])
