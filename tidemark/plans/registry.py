@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import marketplace, marketplace_sql
+from tidemark.plans import marketplace, marketplace_sql, warehouse, warehouse_sql
 
-QUERIES = {**marketplace.QUERIES}
-ORACLES = {**marketplace_sql.ORACLES}
+QUERIES = {**marketplace.QUERIES, **warehouse.QUERIES}
+ORACLES = {**marketplace_sql.ORACLES, **warehouse_sql.ORACLES}
