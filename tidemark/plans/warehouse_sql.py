@@ -24,8 +24,22 @@ _CLASSIC = {
 # --- The entities over the marketplace tables ----------------------------------------------
 
 
+#: Time columns with a zone; results show them as UTC without one.
+_TIMES = {
+    "marketplace_orders": ("created_at", "updated_at", "processed_at"),
+    "order_items": ("created_at", "processed_at"),
+    "payments": ("authorized_at", "paid_at", "created_at", "updated_at", "processed_at"),
+    "products": ("created_at", "updated_at", "deleted_at", "processed_at"),
+    "categories": ("created_at", "updated_at", "processed_at"),
+}
+
+
+def _utc(table: str) -> str:
+    return f"(SELECT * REPLACE ({', '.join(f'{c} AT TIME ZONE \'UTC\' AS {c}' for c in _TIMES[table])}) FROM {table})"
+
+
 def _last(table: str, key: str, order: str, columns: str, where: str = "") -> str:
-    return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY {ref(key)} ORDER BY {order}) AS rn FROM {table} WHERE {ref(key)} IS NOT NULL{where}) WHERE rn = 1"
+    return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY {ref(key)} ORDER BY {order}) AS rn FROM {_utc(table)} WHERE {ref(key)} IS NOT NULL{where}) WHERE rn = 1"
 
 
 _STATUS = _TRIM.format("status")
@@ -35,7 +49,7 @@ _MARKET = {
     "products": _last("products", "product_id", "updated_at DESC, processed_at DESC", f"{ref('product_id')} AS product_id, {ref('seller_id')} AS seller_id, {ref('category_id')} AS category_id, sku, name, description, brand, price, weight, height, width, length, {_STATUS} AS status, is_active, created_at, updated_at, deleted_at"),
     "payments": _last("payments", "order_id", "updated_at DESC, processed_at DESC, payment_id DESC", f"payment_id, {ref('order_id')} AS order_id, payment_method_id, transaction_code, amount, {_STATUS} AS status, authorized_at, paid_at, created_at, updated_at"),
     "categories": _last("categories", "category_id", "updated_at DESC, processed_at DESC", f"{ref('category_id')} AS category_id, {ref('parent_category_id')} AS parent_category_id, name, description, is_active, created_at, updated_at"),
-    "order_status_history": f"SELECT order_id || '|' || epoch_us(changed_at) || '|' || current_status AS history_id, order_id, {_N} AS previous_status, current_status, changed_at FROM (SELECT DISTINCT {ref('order_id')} AS order_id, {_STATUS} AS current_status, updated_at AS changed_at FROM marketplace_orders)",
+    "order_status_history": f"SELECT order_id || '|' || epoch_us(changed_at) || '|' || current_status AS history_id, order_id, {_N} AS previous_status, current_status, changed_at FROM (SELECT DISTINCT {ref('order_id')} AS order_id, {_STATUS} AS current_status, updated_at AS changed_at FROM {_utc('marketplace_orders')})",
     "sellers": "SELECT DISTINCT seller_id, 'Seller ' || left(seller_id, 8) AS company_name, CAST(NULL AS BOOLEAN) AS is_active FROM e_products WHERE seller_id IS NOT NULL",
 }
 
@@ -95,8 +109,8 @@ ORACLES |= {f"market_{n}": _M + _FACTS + sql for n, sql in _MODEL_SQL.items() if
 
 ORACLES |= {
     "silver_trim_normalize": "SELECT c_custkey AS customer_key, trim('  ' || c_name || ' ') AS full_name, trim(c_mktsegment) AS market_segment, c_acctbal AS acct_bal FROM customer",
-    "silver_dedup_exact": "SELECT DISTINCT order_item_id, order_id, product_id, quantity, unit_price, total_price, created_at FROM order_items",
-    "silver_dedup_latest": "SELECT category_id, parent_category_id, name, updated_at, processed_at FROM (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY updated_at DESC, processed_at DESC, parent_category_id DESC NULLS LAST, name DESC NULLS LAST) AS rn FROM categories) WHERE rn = 1",
+    "silver_dedup_exact": f"SELECT DISTINCT order_item_id, order_id, product_id, quantity, unit_price, total_price, created_at FROM {_utc('order_items')}",
+    "silver_dedup_latest": f"SELECT category_id, parent_category_id, name, updated_at, processed_at FROM (SELECT *, row_number() OVER (PARTITION BY category_id ORDER BY updated_at DESC, processed_at DESC, parent_category_id DESC NULLS LAST, name DESC NULLS LAST) AS rn FROM {_utc('categories')}) WHERE rn = 1",
     "silver_standardize": "SELECT shipment_id, status, cdc_ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY shipment_id ORDER BY cdc_ts_ms DESC, status DESC NULLS LAST) AS rn FROM (SELECT trim(shipment_id) AS shipment_id, trim(status) AS status, epoch_us(updated_at) AS cdc_ts_ms FROM shipments)) WHERE rn = 1",
     "order_value_tier": f"{_C} SELECT order_id, total_amount, ntile(3) OVER (ORDER BY total_amount ASC NULLS LAST, order_id) AS order_value_tier FROM e_orders",
     "dq_not_null": "SELECT payment_id FROM payments WHERE order_id IS NULL",
@@ -118,6 +132,6 @@ SELECT *, n_failures = 0 AS passed FROM f""",
     "profile_row_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")),
     "insert_absent": "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_nationkey >= 5",
     "conditional_update": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '5-LOW' THEN 'F' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders",
-    "status_candidates": f"{_M} SELECT order_id, updated_at FROM e_orders WHERE status = 'PAID' AND updated_at <= TIMESTAMPTZ '2026-06-01 00:00:00+00' - INTERVAL 60 SECOND ORDER BY updated_at LIMIT 15",
+    "status_candidates": f"{_M} SELECT order_id, updated_at FROM e_orders WHERE status = 'PAID' AND updated_at <= TIMESTAMP '2026-06-01 00:00:00' - INTERVAL 60 SECOND ORDER BY updated_at LIMIT 15",
     "low_stock_priority": "SELECT p_partkey, p_size FROM part ORDER BY (p_size < 5) DESC, p_partkey LIMIT 5",
 }
