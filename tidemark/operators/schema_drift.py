@@ -125,16 +125,15 @@ class _Stream:
             fields = _fields(sig)
             names.update(fields)
             typed.append(fields)
-        if self.names is not None:
-            # A null object says nothing about the fields below it.
-            void = {p for f in typed for p, t in f.items() if t is None}
-            names.update(p for p in self.names if any(p[:i] in void for i in range(1, len(p))))
+        # A null object says nothing about the fields below it; a range's first rows leave that to _steps.
+        void = {p for f in typed for p, t in f.items() if t is None}
+        names.update(p for p in self.names or () if any(p[:i] in void for i in range(1, len(p))))
         new = frozenset(names)
         if new != self.names:
             for p in new - (self.names or frozenset()):
                 self.types.pop(p, None)
             self.names = new
-            yield "names", "", json.dumps(sorted(map(_path_text, new)))
+            yield "names", "", json.dumps([sorted(map(_path_text, new)), sorted(map(_path_text, void))])
         for fields in typed:
             for p, t in fields.items():
                 if t is not None and self.types.get(p) != t:
@@ -202,7 +201,11 @@ def _steps(log: list[tuple]) -> Iterator[tuple[int, frozenset, frozenset, list[t
     before: frozenset | None = None
     for seq in sorted(by_seq):
         names, types = by_seq[seq]
-        after = frozenset(json.loads(names[0])) if names else before
+        after = before
+        if names:
+            here, void = json.loads(names[0])
+            hidden = {p for p in before or () for i, c in enumerate(p) if c == "\x1f" and p[:i] in void}
+            after = frozenset(here) | hidden
         yield seq, before if before is not None else after, after, sorted(types)
         before = after
 
