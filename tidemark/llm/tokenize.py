@@ -6,7 +6,7 @@ starts inside a pre-token finds its first boundaries wrong, but as soon as it
 shares a boundary with the chunk before, both agree for good (the pattern
 looks at nothing to the left of a boundary): there the two are stitched. The
 pieces between stitches are encoded in parallel and their ids joined. Where an
-overlap holds no common boundary (one pre-token longer than the overlap), the
+overlap holds no common boundary (a pre-token longer than the overlap), the
 chunks are encoded as one piece, so the result is always that of the whole text.
 Decoding concatenates the tokens' raw bytes.
 
@@ -86,29 +86,41 @@ def _split(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Itera
 
 
 def _boundaries(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
-    """(row, chunk_no, head, tail): pre-token starts within the overlaps, as offsets from the overlap's start."""
+    """(row, chunk_no, head, tail, plain): pre-token starts within the overlaps, as offsets from the overlap's start.
+
+    ``plain`` are those of the tail where white space follows another character:
+    no pre-token has both in that order, so they are boundaries of any reading.
+    """
     pattern, step = _pre_token(), chunk - overlap
+    lists = pa.list_(pa.int32())
     for b in batches:
-        heads, tails = [], []
+        heads, tails, plains = [], [], []
         for text in b.column(2).to_pylist():
             starts = [m.start() for m in pattern.finditer(text)]
             sure = len(text) - MARGIN
             heads.append([s for s in starts if s < overlap and s <= sure])
-            tails.append([s - step for s in starts if step <= s <= sure])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], ["row", "chunk_no", "head", "tail"])
+            # After white space the pattern looks ahead, past the end of a piece that ended there.
+            tails.append([s - step for s in starts if step <= s <= sure and not text[s - 1].isspace()])
+            plains.append([s for s in tails[-1] if text[s + step] in " \t\r\n"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, lists) for x in (heads, tails, plains)]], ["row", "chunk_no", "head", "tail", "plain"])
 
 
 def _stitches(pdf):
     """Per chunk of one text: its piece, and the part of it [start, stop) that belongs there.
 
-    A text of n characters has n / CHUNK rows of a few numbers here.
+    A text of n characters has n / CHUNK rows of a few numbers here. A chunk
+    that found no boundary in common with the one before may still be out of
+    step in its tail, so there only plain boundaries are taken.
     """
     import pandas as pd
 
     pdf = pdf.sort_values("chunk_no")
     out, piece, start = [], 0, 0
-    tails = [set(), *map(set, pdf["tail"])]
-    syncs = [next((s for s in sorted(h) if s in tails[i]), None) if i else None for i, h in enumerate(pdf["head"])]
+    heads, tails, plains = (list(map(set, pdf[c])) for c in ("head", "tail", "plain"))
+    syncs: list[int | None] = [0]
+    for i in range(1, len(pdf)):
+        common = heads[i] & (tails[i - 1] if syncs[-1] is not None else plains[i - 1])
+        syncs.append(min(common, default=None))
     syncs.append(None)
     last = len(pdf) - 1
     for i, (row, no, step) in enumerate(zip(pdf["row"], pdf["chunk_no"], pdf["step"])):
@@ -128,7 +140,7 @@ def _encode_long(long: DataFrame, path: str, chunk: int, overlap: int) -> DataFr
     """(row, ids) of texts longer than a chunk."""
     chunks = materialize(long.mapInArrow(lambda it: _split(it, chunk, overlap), "row long, chunk_no int, text string"), "chunks")
     spread = chunks.repartition(F.col("row"), F.col("chunk_no"))
-    edges = spread.mapInArrow(lambda it: _boundaries(it, chunk, overlap), "row long, chunk_no int, head array<int>, tail array<int>")
+    edges = spread.mapInArrow(lambda it: _boundaries(it, chunk, overlap), "row long, chunk_no int, head array<int>, tail array<int>, plain array<int>")
     edges = edges.withColumn("step", F.lit(chunk - overlap))
     parts = edges.groupBy("row").applyInPandas(_stitches, "row long, chunk_no int, piece int, start int, stop int")
     placed = chunks.join(parts, ["row", "chunk_no"])
