@@ -27,6 +27,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,7 +63,9 @@ _MARKUP = re.compile(r"<[^>]*>|&\w+;")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)*")
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]")
 _JSON = re.compile(r'"[\w ]+"\s*:|^[\s{}\[\],]+$')
-_USUAL = re.compile(r"[A-Za-zÀ-ɏ0-9\s.,;:!?#|/\\·•»>›\-–—()\[\]'’\"“”*+&@~_=]")
+_UNUSUAL = re.compile(r"[^A-Za-zÀ-ɏ0-9\s.,;:!?#|/\\·•»>›\-–—()\[\]'’\"“”*+&@~_=]")
+_DIGIT = re.compile(r"\d")
+_MARK = "\x00"
 _END = re.compile(r"[.!?…][\"'”)]*\s*$")
 
 
@@ -77,29 +80,37 @@ def _unit_kind(raw: str, rest: str, words: list[str], links: int, dominating: se
         return "none"
     letters = sum(map(len, words))
     solid = len("".join(rest.split()))
-    if max(map(len, words)) > 45 or letters < 0.6 * solid or len(_USUAL.findall(rest)) < 0.93 * len(rest):
+    if max(map(len, words)) > 45 or letters < 0.6 * solid or len(_UNUSUAL.findall(rest)) > 0.07 * len(rest):
         return "odd"
     n = len(words)
-    numbers = sum(any(c.isdigit() for c in w) for w in words)
+    numbers = len([w for w in words if not w.isalpha() and _DIGIT.search(w)])
     if numbers and numbers >= 0.12 * n:
         return "data"
-    function = sum(w in FUNCTION_WORDS for w in words)
-    repeated = Counter(w for w in words if w in dominating)
-    if sum(repeated.values()) >= 0.3 * n and (not function or max(repeated.values()) >= 2):
-        return "stuffed"
+    function = len([w for w in words if w in FUNCTION_WORDS])
+    if dominating:
+        repeated = Counter([w for w in words if w in dominating])
+        if sum(repeated.values()) >= 0.3 * n and (not function or max(repeated.values()) >= 2):
+            return "stuffed"
     return "sentence" if function and function >= 0.08 * n else "tags"
 
 
-def _shape(unit: str) -> str:
-    """Links, numbers and content words as one symbol each."""
-    out = []
-    for at, part in enumerate(_LINK.split(unit)):
-        if at:
-            out.append("L")
-        for t in _TOKEN.findall(_MARKUP.sub(" ", part)):
-            low = t.lower()
-            out.append(low if low in FUNCTION_WORDS or not t[0].isalnum() else "0" if any(c.isdigit() for c in t) else "w")
-    return " ".join(out)
+def _links(unit: str) -> list[str]:
+    return _LINK.findall(unit) if "/" in unit or "](" in unit or "ww." in unit.lower() else []
+
+
+@lru_cache(maxsize=100_000)
+def _symbol(token: str) -> str:
+    if token == _MARK:
+        return "L"
+    if not token[0].isalnum():
+        return token
+    low = token.lower()
+    return low if low in FUNCTION_WORDS else "w" if token.isalpha() else "0" if _DIGIT.search(token) else "w"
+
+
+def _shape(rest: str) -> str:
+    """Links, numbers and content words as one symbol each; ``rest`` has marks for its links."""
+    return " ".join(map(_symbol, _TOKEN.findall(rest)))
 
 
 def _packed(text: str) -> int:
@@ -115,12 +126,15 @@ def measure(text: str) -> list[tuple[int, int, int, int, int]]:
     for raw in _BREAK.split(text):
         if not raw or not raw.strip():
             continue
-        rest = _MARKUP.sub(" ", _LINK.sub(" ", raw))
-        words = [w.lower() for w in _WORD.findall(rest)]
-        counts.update(w for w in words if w not in FUNCTION_WORDS and w not in NEUTRAL_WORDS and not any(c.isdigit() for c in w))
+        links = _links(raw)
+        rest = _LINK.sub(f" {_MARK} ", raw) if links else raw
+        if "<" in rest or "&" in rest:
+            rest = _MARKUP.sub(" ", rest)
+        words = _WORD.findall(rest.lower())
+        counts.update(words)
         total += len(words)
-        units.append((raw, rest, words, sum(len(m.group()) for m in _LINK.finditer(raw))))
-    dominating = {w for w, c in counts.items() if c >= 4 and c >= 0.08 * total}
+        units.append((raw, rest, words, sum(map(len, links))))
+    dominating = {w for w, c in counts.items() if c >= 4 and c >= 0.08 * total and w not in FUNCTION_WORDS and w not in NEUTRAL_WORDS and not _DIGIT.search(w)}
     blocks, held = [], []
 
     def close() -> None:
@@ -128,7 +142,7 @@ def measure(text: str) -> list[tuple[int, int, int, int, int]]:
         ends = sum(k == "sentence" and bool(_END.search(u[0])) for u, k in held)
         spam = sum(len(u[0].strip()) for u, k in held if k in ("link", "stuffed", "tags"))
         chars = sum(len(u[0].strip()) for u, _ in held)
-        blocks.append((chars, _packed(whole), _packed("\n".join(_shape(u[0]) for u, _ in held)), ends, spam))
+        blocks.append((chars, _packed(whole), _packed("\n".join(_shape(u[1]) for u, _ in held)), ends, spam))
         held.clear()
 
     size = 0
