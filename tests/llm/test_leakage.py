@@ -81,7 +81,7 @@ def brute(docs, items):
     for _, t in items:
         for w in set(leakage.words(t)):
             counted[w] = counted.get(w, 0) + 1
-    distinct = {w for w, n in counted.items() if n <= leakage.DISTINCT_IN or w.isdigit()}
+    distinct = {w for w, n in counted.items() if n <= leakage.DISTINCT_IN or (w.isdigit() and len(w) >= 3)}
     known = [(i, leakage.words(t)) for i, t in items]
     return sorted((d, i) for d, t in docs if t for doc in [leakage.words(t)] for i, ws in known if leakage.holds(ws, distinct & set(ws), doc))
 

@@ -167,31 +167,48 @@ def _suspects(batches: Iterator[pa.RecordBatch], bloom: bytes, least: int) -> It
 # --- Verification ---------------------------------------------------------------
 
 
-def _best_local(a: list[str], b: list[str], penalty: int = 3) -> tuple[int, int, int, int, int, int, int]:
-    """Best local alignment: (score, a from, a to, b from, b to, matches, edits); a match +1, an edit -penalty."""
-    m = len(b)
-    prev, before = [0] * (m + 1), [(0, j, 0, 0) for j in range(m + 1)]
-    best = (0, 0, 0, 0, 0, 0, 0)
-    for i, x in enumerate(a, 1):
-        cur, state = [0] * (m + 1), [(i, 0, 0, 0)] * (m + 1)
-        for j in range(1, m + 1):
-            s, st = 0, (i, j, 0, 0)
-            if x == b[j - 1]:
-                s, q = prev[j - 1] + 1, before[j - 1]
-                st = (q[0], q[1], q[2] + 1, q[3]) if s > 1 else (i - 1, j - 1, 1, 0)
-            else:
-                for v, q in ((prev[j - 1], before[j - 1]), (prev[j], before[j]), (cur[j - 1], state[j - 1])):
-                    if v - penalty > s:
-                        s, st = v - penalty, (q[0], q[1], q[2], q[3] + 1)
-            cur[j], state[j] = s, st
-            if s > best[0]:
-                best = (s, st[0], i, st[1], j, st[2], st[3])
-        prev, before = cur, state
-    return best
-
-
-def _passages(item: list[str], doc: list[str]) -> list[tuple]:
+def _best_local(a: np.ndarray, b: np.ndarray, penalty: int = 3) -> tuple[int, int, int, int, int, int, int]:
+    """Best local alignment: (score, a from, a to, b from, b to, matches, edits); a match +1, an edit -penalty.
+
+    ``a`` and ``b`` are word numbers. A row of the table is a few vector
+    operations; gaps along ``b`` are a running maximum.
+    """
+    n, m = len(a), len(b)
+    if not n or not m:
+        return (0, 0, 0, 0, 0, 0, 0)
+    table = np.zeros((n + 1, m + 1), np.int32)
+    slope = penalty * np.arange(m, dtype=np.int32)
+    gains: dict[int, np.ndarray] = {}
+    for i in range(n):
+        gain = gains.get(a[i])
+        if gain is None:
+            gain = gains[a[i]] = np.where(b == a[i], 1, -penalty).astype(np.int32)
+        row = np.maximum(table[i, :-1] + gain, table[i, 1:] - penalty)
+        np.maximum(row, 0, out=row)
+        row += slope
+        np.maximum.accumulate(row, out=row)
+        row -= slope
+        table[i + 1, 1:] = row
+    i, j = divmod(int(table.argmax()), m + 1)
+    score, i1, j1, matches, edits = int(table[i, j]), i, j, 0, 0
+    while table[i, j] > 0:
+        here = table[i, j]
+        if a[i - 1] == b[j - 1] and here == table[i - 1, j - 1] + 1:
+            i, j, matches = i - 1, j - 1, matches + 1
+        elif here == table[i - 1, j - 1] - penalty:
+            i, j, edits = i - 1, j - 1, edits + 1
+        elif here == table[i - 1, j] - penalty:
+            i, edits = i - 1, edits + 1
+        else:
+            j, edits = j - 1, edits + 1
+    return (score, i, i1, j, j1, matches, edits)
+
+
+def _passages(item_words: list[str], doc_words: list[str]) -> list[tuple]:
     """The best passage, and the better of those before and after it in both texts."""
+    number: dict[str, int] = {}
+    item = np.array([number.setdefault(w, len(number)) for w in item_words], np.int32)
+    doc = np.array([number.get(w, -1) for w in doc_words], np.int32)
     x = _best_local(item, doc)
     if not x[0]:
         return []
@@ -281,9 +298,9 @@ def leaked_items(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame,
     beside = F.exists("spans", lambda a: F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, b: s + F.when((b["d"] == a["d"]) | (b["d"] == a["d"] + 1), b["n"]).otherwise(0)) >= F.col("on_diagonal"))
     chosen = pairs.where(F.col("prefix") & (F.col("n") >= F.col("t")) & beside).select("row", "item", "spans")
 
-    # A word of few items, or a number, tells one item from others of the same form.
+    # A word of few items, or a number of some length, tells one item from others of the same form.
     each = known.select("item", F.explode(F.array_distinct("words")).alias("w"))
-    rare = each.groupBy("w").agg(F.count(F.lit(1)).alias("in_items")).where((F.col("in_items") <= DISTINCT_IN) | F.col("w").rlike(r"^\d+$"))
+    rare = each.groupBy("w").agg(F.count(F.lit(1)).alias("in_items")).where((F.col("in_items") <= DISTINCT_IN) | F.col("w").rlike(r"^\d{3,}$"))
     distinct = each.join(rare, "w", "left_semi").groupBy("item").agg(F.collect_list("w").alias("distinct"))
     texts = known.select("item", "words").join(distinct, "item", "left")
     ready = chosen.join(texts, "item").join(suspects.select("row", "doc", "text"), "row")
