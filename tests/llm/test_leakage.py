@@ -101,4 +101,5 @@ def test_query(spark):
 
 def test_words():
     assert leakage.words("<p>Ação <b>SO</b>­ft&amp;​É ﬁne</p>x<br>y") == ["acao", "soft", "e", "fine", "x", "y"]
+    assert leakage.words("Acc-\nording to re-<br>turns\n> and unl- \n> oads, well-known") == ["according", "to", "returns", "and", "unloads", "well", "known"]
     assert leakage.words(None) == []

@@ -58,6 +58,8 @@ BLOOM_BITS = 23
 _BLOCK_TAG = re.compile(r"</?(?:p|br|div|li|ul|ol|h\d|td|tr|table|blockquote|pre|hr)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _INVISIBLE = re.compile("[​-‏⁠﻿­‪-‮]")
+#: A word broken at the end of a line, the next of which may be quoted.
+_BROKEN = re.compile(r"(?<=\w)[-‐][ \t]*(?:\r\n?|[\n\x0b\x0c\x85\u2028\u2029])[ \t>|]*(?=\w)")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -65,7 +67,8 @@ def words(text: str | None) -> list[str]:
     """The words of a text apart from how they are written and set."""
     if not text:
         return []
-    plain = _INVISIBLE.sub("", html.unescape(_TAG.sub("", _BLOCK_TAG.sub(" ", text))))
+    plain = _INVISIBLE.sub("", html.unescape(_TAG.sub("", _BLOCK_TAG.sub("\n", text))))
+    plain = _BROKEN.sub("", plain)
     if not plain.isascii():
         plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
     return _WORD.findall(plain.casefold())
