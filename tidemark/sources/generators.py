@@ -78,3 +78,15 @@ def advance_statuses(orders_: DataFrame, age_seconds: Column, tick: int, seed: i
         here = (F.col("status") == status) & (age_seconds >= age)
         new = F.when(here & (u < c), F.lit("CANCELLED")).when(here & (u < c + p), F.lit(to)).otherwise(new)
     return orders_.withColumn("status", new)
+
+
+def customers(spark: SparkSession, n: int, seed: int = 8) -> DataFrame:
+    """Customers with an address: a complement for 30 %, a district for 90 %."""
+    u = lambda i: uniform(seed + i, "id")
+    name = F.concat(F.lit("Customer "), F.col("id"))
+    return spark.range(n).select(F.col("id").cast("string").alias("customer_id"), name.alias("first_name"), F.concat(F.lit("customer"), F.col("id"), F.lit("@example.test")).alias("email"), (u(1) < 0.95).alias("is_active"), F.when(u(2) < 0.3, F.concat(F.lit("Unit "), F.floor(u(3) * 99))).alias("complement"), F.when(u(4) < 0.9, F.concat(F.lit("District "), F.floor(u(5) * 40))).alias("district"))
+
+
+def reference_rows(spark: SparkSession, kind: str, codes: tuple[str, ...]) -> DataFrame:
+    """Seed rows of a small reference table, to be inserted where absent."""
+    return spark.createDataFrame([(f"{kind}-{i}", c, c.title(), True) for i, c in enumerate(codes)], f"{kind}_id string, code string, name string, is_active boolean")

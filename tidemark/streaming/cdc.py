@@ -158,3 +158,18 @@ class StreamMetrics(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         if event.exception:
             self.failures.append({"query": str(event.id), "error": event.exception})
+
+
+def run_entities(jobs: dict[str, Callable[[], StreamingQuery]], at_once: int = 8) -> dict[str, str | None]:
+    """Run one query per entity, ``at_once`` side by side, to their ends; the error of each, if any."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run(start: Callable[[], StreamingQuery]) -> str | None:
+        try:
+            start().awaitTermination()
+        except Exception as e:  # noqa: BLE001
+            return str(e).splitlines()[0]
+        return None
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return dict(zip(jobs, pool.map(run, jobs.values())))
