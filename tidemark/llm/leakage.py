@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,12 +55,14 @@ DISTINCT_IN = 2
 WINDOW = 256
 DIAGONAL = 16
 BLOOM_BITS = 23
+ITEMS_AT_ONCE = 512
 
 _BLOCK_TAG = re.compile(r"</?(?:p|br|div|li|ul|ol|h\d|td|tr|table|blockquote|pre|hr)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _INVISIBLE = re.compile("[​-‏⁠﻿­‪-‮]")
 #: A word broken at the end of a line, the next of which may be quoted.
 _BROKEN = re.compile(r"(?<=\w)[-‐][ \t]*(?:\r\n?|[\n\x0b\x0c\x85\u2028\u2029])[ \t>|]*(?=\w)")
+_MARKS = regex.compile(r"\p{Mn}+")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -70,7 +73,7 @@ def words(text: str | None) -> list[str]:
     plain = _INVISIBLE.sub("", html.unescape(_TAG.sub("", _BLOCK_TAG.sub("\n", text))))
     plain = _BROKEN.sub("", plain)
     if not plain.isascii():
-        plain = "".join(c for c in unicodedata.normalize("NFKD", plain) if not unicodedata.combining(c))
+        plain = _MARKS.sub("", unicodedata.normalize("NFKD", plain))
     return _WORD.findall(plain.casefold())
 
 
@@ -260,13 +263,12 @@ def _windows(doc: list[str], spans: list[tuple[int, int]], n: int) -> list[str]:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = []
-        rows = zip(*[b.column(c).to_pylist() for c in ("doc", "item", "text", "words", "distinct", "spans")])
-        last, doc = None, []
-        for key, item, text, ws, distinct, spans in rows:
-            if text is not last:
-                last, doc = text, words(text)
-            if holds(ws, set(distinct or ()), _windows(doc, [(s["lo"], s["hi"]) for s in spans], len(ws))):
-                found.append((key, item))
+        for key, text, pairs in zip(*[b.column(c).to_pylist() for c in ("doc", "text", "pairs")]):
+            doc = words(text)
+            for p in pairs:
+                ws = p["words"]
+                if holds(ws, set(p["distinct"] or ()), _windows(doc, [(s["lo"], s["hi"]) for s in p["spans"]], len(ws))):
+                    found.append((key, p["item"]))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], b.schema.field("doc").type), pa.array([i for _, i in found], pa.string())], ["doc", "item"])
 
 
@@ -278,7 +280,7 @@ def leaked_items(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame,
     doc_type, item_type = docs.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType
     source = items.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).alias("text")).where(F.col("item").isNotNull())
     known = materialize(source.mapInArrow(_item_batches, _ITEMS), "items")
-    shortest = known.agg(F.min("n")).first()[0]
+    shortest, n_items = known.agg(F.min("n"), F.count(F.lit(1))).first()
     out = docs.select(F.col(doc_key).alias("doc")).limit(0).select(F.col("doc").alias(doc_key), F.lit(None).cast(item_type).alias(item_key))
     if shortest is None:
         return out
@@ -306,8 +308,9 @@ def leaked_items(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame,
     rare = each.groupBy("w").agg(F.count(F.lit(1)).alias("in_items")).where((F.col("in_items") <= DISTINCT_IN) | F.col("w").rlike(r"^\d{3,}$"))
     distinct = each.join(rare, "w", "left_semi").groupBy("item").agg(F.collect_list("w").alias("distinct"))
     texts = known.select("item", "words").join(distinct, "item", "left")
-    ready = chosen.join(texts, "item").join(suspects.select("row", "doc", "text"), "row")
-    # Pairs of one document may be many: spread by pair, not by document.
-    spread = ready.select("doc", "item", "text", "words", "distinct", "spans").repartition(F.xxhash64("doc", "item") % 65_536)
-    found = spread.mapInArrow(_verify, f"doc {doc_type}, item string").distinct()
+    # A document's pairs are verified together, its words taken once; of many items by slices of about ITEMS_AT_ONCE.
+    slice_ = F.pmod(F.xxhash64("item"), F.lit(-(-n_items // ITEMS_AT_ONCE)))
+    pairs = chosen.join(texts, "item").groupBy("row", slice_.alias("slice")).agg(F.collect_list(F.struct("item", "words", "distinct", "spans")).alias("pairs"))
+    ready = pairs.join(suspects.select("row", "doc", "text"), "row").select("doc", "text", "pairs")
+    found = ready.mapInArrow(_verify, f"doc {doc_type}, item string").distinct()
     return found.select(F.col("doc").alias(doc_key), F.col("item").cast(item_type).alias(item_key))
