@@ -65,6 +65,12 @@ def test_a_very_long_text(spark):
     assert run(spark, [long_spam, PROSE * 1000, *[PROSE] * 30]) == {0}
 
 
+def test_a_brand_named_like_a_function_word(spark):
+    rnd = random.Random(3)
+    text = ". ".join(" ".join(rnd.choice(["una", "una", "kettle", "sale", "buy"]) for _ in range(6)) for _ in range(25))
+    assert run(spark, [text, *[PROSE * 3] * 10]) == {0}
+
+
 def test_half_a_page_is_no_case(spark):
     rnd = random.Random(3)
     stuffed = " ".join(rnd.choice(["kettle", "best", "cheap"]) for _ in range(120))

@@ -69,7 +69,7 @@ _MARK = "\x00"
 _END = re.compile(r"[.!?…][\"'”)]*\s*$")
 
 
-def _unit_kind(raw: str, rest: str, words: list[str], links: int, dominating: set[str]) -> str:
+def _unit_kind(raw: str, rest: str, words: list[str], links: int, dominating: set[str], functional: frozenset[str] = FUNCTION_WORDS) -> str:
     """One of link, data, none, odd, stuffed, sentence, tags."""
     size = len(raw.strip())
     if links >= 0.5 * size:
@@ -86,7 +86,7 @@ def _unit_kind(raw: str, rest: str, words: list[str], links: int, dominating: se
     numbers = len([w for w in words if not w.isalpha() and _DIGIT.search(w)])
     if numbers and numbers >= 0.12 * n:
         return "data"
-    function = len([w for w in words if w in FUNCTION_WORDS])
+    function = len([w for w in words if w in functional])
     if dominating:
         repeated = Counter([w for w in words if w in dominating])
         if sum(repeated.values()) >= 0.3 * n and (not function or max(repeated.values()) >= 2):
@@ -134,7 +134,11 @@ def measure(text: str) -> list[tuple[int, int, int, int, int]]:
         counts.update(words)
         total += len(words)
         units.append((raw, rest, words, sum(map(len, links))))
-    dominating = {w for w, c in counts.items() if c >= 4 and c >= 0.08 * total and w not in FUNCTION_WORDS and w not in NEUTRAL_WORDS and not _DIGIT.search(w)}
+    # A function word that is a fifth of a text and stands beside itself is a keyword there (a brand of that name).
+    frequent = {w for w, c in counts.items() if c >= 15 and c >= 0.2 * total and w in FUNCTION_WORDS}
+    keywords = {w for u in units for w, after in zip(u[2], u[2][1:]) if w == after and w in frequent} if frequent else frequent
+    functional = FUNCTION_WORDS - keywords if keywords else FUNCTION_WORDS
+    dominating = {w for w, c in counts.items() if c >= 4 and c >= 0.08 * total and w not in functional and w not in NEUTRAL_WORDS and not _DIGIT.search(w)}
     blocks, held = [], []
 
     def close() -> None:
@@ -147,7 +151,7 @@ def measure(text: str) -> list[tuple[int, int, int, int, int]]:
 
     size = 0
     for u in units:
-        held.append((u, _unit_kind(u[0], u[1], u[2], u[3], dominating)))
+        held.append((u, _unit_kind(u[0], u[1], u[2], u[3], dominating, functional)))
         size += len(u[0])
         if size >= BLOCK:
             close()
