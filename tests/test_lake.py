@@ -128,7 +128,5 @@ def test_generators_are_seeded_and_weighted(spark):
     share = paid.where("status = 'PAID'").count() / paid.count()
     assert 0.70 < share < 0.80 and paid.where("status = 'PAID' AND paid_at IS NULL").count() == 0
     assert generators.reviews(orders).where("rating NOT BETWEEN 1 AND 5").count() == 0
-    moved = generators.advance_statuses(orders, orders["quantity"] * 0 + 100, 1).groupBy("status").count().collect()
-    assert {r.status for r in moved} == {"PENDING", "PAID", "CANCELLED"}
     assert generators.shipments(orders).where("status = 'DELIVERED' AND delivered_at IS NULL").count() == 0
     assert generators.inventories(spark, 50).count() == 50 and generators.products(spark, 5).count() == 5

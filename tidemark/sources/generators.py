@@ -7,12 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Weights of statuses and ratings, and the steps of an order's status.
+#: Weights of statuses and ratings.
 PAYMENT_WEIGHTS = {"PAID": 75, "AUTHORIZED": 10, "PENDING": 7, "FAILED": 5, "CANCELLED": 2, "REFUNDED": 1}
 SHIPMENT_WEIGHTS = {"DELIVERED": 70, "IN_TRANSIT": 20, "SHIPPED": 7, "CREATED": 2, "RETURNED": 1}
 RATING_WEIGHTS = {5: 65, 4: 20, 3: 8, 2: 4, 1: 3}
-ADVANCE = {"PENDING": ("PAID", 60, 0.15), "PAID": ("PROCESSING", 120, 0.10), "PROCESSING": ("SHIPPED", 180, 0.08), "SHIPPED": ("DELIVERED", 300, 0.05)}
-CANCEL = {"PENDING": 0.02, "PAID": 0.01, "PROCESSING": 0.005}
 
 
 def uniform(seed: int, *key: Column | str) -> Column:
@@ -69,17 +67,6 @@ def inventories(spark: SparkSession, n: int, seed: int = 6) -> DataFrame:
     return spark.range(n).select(F.col("id").cast("string").alias("inventory_id"), F.floor(20 + u(1) * 481).cast("int").alias("available_quantity"), F.floor(u(2) * 21).cast("int").alias("reserved_quantity"), F.floor(5 + u(3) * 16).cast("int").alias("minimum_quantity"))
 
 
-def advance_statuses(orders_: DataFrame, age_seconds: Column, tick: int, seed: int = 7) -> DataFrame:
-    """One tick of the status machine: some orders old enough advance, some are cancelled."""
-    new = F.col("status")
-    u = uniform(seed, F.lit(tick), "order_id")
-    for status, (to, age, p) in ADVANCE.items():
-        c = CANCEL.get(status, 0.0)
-        here = (F.col("status") == status) & (age_seconds >= age)
-        new = F.when(here & (u < c), F.lit("CANCELLED")).when(here & (u < c + p), F.lit(to)).otherwise(new)
-    return orders_.withColumn("status", new)
-
-
 def customers(spark: SparkSession, n: int, seed: int = 8) -> DataFrame:
     """Customers with an address: a complement for 30 %, a district for 90 %."""
     u = lambda i: uniform(seed + i, "id")
