@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 def key_fields(entity_fields: DataFrame) -> dict[str, str]:
     """entity -> its row-key field, from the declared fields (a fixed, small table)."""
-    rows = entity_fields.where(F.col("is_row_key")).select("entity", "field_name").distinct().limit(10_000).collect()
+    rows = entity_fields.where(F.col("is_row_key")).select("entity", "field_name").distinct().collect()
     return {r[0]: r[1] for r in rows}
 
 

@@ -443,10 +443,10 @@ def unify(rows: DataFrame, declared: DataFrame, entity: str) -> DataFrame:
     events = log.groupBy("source", "entity").cogroup(evidence.groupBy("source", "entity")).applyInPandas(_events, _EVENTS)
     compiled = events.groupBy("source", "entity").cogroup(log.groupBy("source", "entity")).applyInPandas(_aliases, "source string, entity string, name string, canonical string, start long, stop long")
     aliases = materialize(compiled, "aliases")
-    fields = [(r.field_name, r.target_type) for r in declared.where(F.col("entity") == entity).orderBy("field_no").limit(10_000).collect()]
+    fields = [(r.field_name, r.target_type) for r in declared.where(F.col("entity") == entity).orderBy("field_no").collect()]
     names = {n for n, _ in fields}
     # Column names of the result: schema metadata, one row per distinct later field.
-    later = sorted(r[0] for r in aliases.select("canonical").distinct().limit(10_000).collect() if r[0] not in names)
+    later = sorted(r[0] for r in aliases.select("canonical").distinct().collect() if r[0] not in names)
     changed = aliases.where(F.col("name") != F.col("canonical")).groupBy("source").agg(F.collect_list(F.struct("name", "canonical", "start", "stop")).alias("alias"))
     joined = own.join(changed, "source", "left").withColumn("raw", F.from_json("record", "map<string,string>"))
     live = F.filter("alias", lambda x: (F.col("seq") >= x["start"]) & (F.col("seq") < x["stop"]))
