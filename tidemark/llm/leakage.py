@@ -225,15 +225,12 @@ def _passages(item_words: list[str], doc_words: list[str]) -> list[tuple]:
     return [x, other] if other[0] else [x]
 
 
-def _names_suffice(item: list[str], distinct: set[str], seen: set[str]) -> bool:
-    """Whether enough of the item's names and numbers are seen: half of those of the least coverage."""
-    mine = [w for w in item if w in distinct]
-    return sum(w in seen for w in mine) >= max(1, int(0.15 * len(mine)))
-
-
 def holds(item: list[str], distinct: set[str], doc: list[str]) -> bool:
     """Whether one or two passages of ``doc`` cover enough of the item."""
-    if not _names_suffice(item, distinct, set(doc)):
+    mine = [w for w in item if w in distinct]
+    seen = set(doc)
+    # Names and numbers of the least coverage, half of them kept.
+    if sum(w in seen for w in mine) < max(1, int(0.15 * len(mine))):
         return False
     covered = 0
     for _, i0, i1, j0, j1, matches, edits in _passages(item, doc):
@@ -268,10 +265,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for key, text, pairs in zip(*[b.column(c).to_pylist() for c in ("doc", "text", "pairs")]):
             doc = words(text)
-            seen = set(doc)
             for p in pairs:
-                ws, distinct = p["words"], set(p["distinct"] or ())
-                if _names_suffice(ws, distinct, seen) and holds(ws, distinct, _windows(doc, [(s["lo"], s["hi"]) for s in p["spans"]], len(ws))):
+                ws = p["words"]
+                if holds(ws, set(p["distinct"] or ()), _windows(doc, [(s["lo"], s["hi"]) for s in p["spans"]], len(ws))):
                     found.append((key, p["item"]))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], b.schema.field("doc").type), pa.array([i for _, i in found], pa.string())], ["doc", "item"])
 
