@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -103,3 +104,37 @@ def test_words():
     assert leakage.words("<p>Ação <b>SO</b>­ft&amp;​É ﬁne</p>x<br>y") == ["acao", "soft", "e", "fine", "x", "y"]
     assert leakage.words("Acc-\nording to re-<br>turns\n> and unl- \n> oads, well-known") == ["according", "to", "returns", "and", "unloads", "well", "known"]
     assert leakage.words(None) == []
+
+
+def piece(ws, rnd, at_ends):
+    """One word in eight changed, added or dropped; next to the ends, beside one another, or anywhere."""
+    n = len(ws) // 8
+    at = rnd.sample(range(1, len(ws) - 1), n) if at_ends is None else [1, len(ws) - 2, 3][:n] if at_ends else list(range(len(ws) // 2, len(ws) // 2 + n))
+    out = list(ws)
+    for i in sorted(at, reverse=True):
+        out[i : i + 1] = rnd.choice([["indeed"], [], [ws[i], "so"]])
+    return out
+
+
+@pytest.mark.parametrize("at_ends", [True, False, None])
+def test_edited_pieces_at_two_fifths_to_a_half(spark, at_ends):
+    rnd = random.Random(7)
+    docs, truth = [], []
+    for i, text in ITEMS:
+        ws = leakage.words(text)
+        for share in (0.4, 0.45, 0.5):
+            total = math.ceil(share * len(ws))
+            one = rnd.randrange(int(0.4 * total), int(0.6 * total) + 1)
+            start = rnd.randrange(len(ws) - total)
+            second = rnd.randrange(start + one + 1, len(ws) - total + one + 1)
+            doc = len(docs)
+            docs.append((doc, " ".join([FILL, *piece(ws[start : start + one], rnd, at_ends), FILL * 2, *piece(ws[second : second + total - one], rnd, at_ends), FILL])))
+            truth.append((doc, i))
+    assert run(spark, docs, ITEMS) == truth
+
+
+def test_passages_do_not_cross_left_out_text():
+    ws = leakage.words(ITEMS[0][1])
+    n = len(ws) // 6
+    parts = [ws[i * 2 * n : i * 2 * n + n - 1] for i in range(3)]
+    assert not leakage.holds(ws, set(ws), [w for p in parts for w in (leakage.GAP, *p)])

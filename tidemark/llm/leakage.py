@@ -18,9 +18,11 @@ dropped, names and numbers included. Five-word shingles could not survive that
    (position in the document less position in the item), in the map before the
    shuffle. A pair goes on if it meets the prefix, the length bound and, on
    neighbouring diagonals, the positional bound.
-5. Verification: local alignment of the item within the windows of the hits;
-   passages whose names and numbers (words of at most ``DISTINCT_IN`` items)
-   differ are sentences of the same form and do not count.
+5. Verification: the best two passages in order within the windows of the hits,
+   by local alignment, measured from the first to the last matched word with the
+   edits of both taken together; passages whose names and numbers (words of at
+   most ``DISTINCT_IN`` items) differ are sentences of the same form and do not
+   count.
 
 Defined results: null, empty and blank texts, and items or documents with a
 null id, give nothing; items of fewer than ``LEAST_WORDS`` words are left out;
@@ -52,6 +54,12 @@ COVER = 0.36
 EDITS = 1 / 7
 LEAST_WORDS = 8
 DISTINCT_IN = 2
+#: Words of the shortest passage; shorter ones are shared phrases.
+LEAST_PASSAGE = 5
+#: Of an edit against a match, tried in turn.
+PENALTIES = (3, 2, 1)
+#: Stands for words left out between two windows.
+GAP = "\0"
 WINDOW = 256
 DIAGONAL = 16
 BLOOM_BITS = 23
@@ -173,56 +181,118 @@ def _suspects(batches: Iterator[pa.RecordBatch], bloom: bytes, least: int) -> It
 # --- Verification ---------------------------------------------------------------
 
 
-def _best_local(a: np.ndarray, b: np.ndarray, penalty: int = 3) -> tuple[int, int, int, int, int, int, int]:
-    """Best local alignment: (score, a from, a to, b from, b to, matches, edits); a match +1, an edit -penalty.
+def _table(a: np.ndarray, b: np.ndarray, penalty: int, floor: np.ndarray | None = None) -> np.ndarray:
+    """Scores of local alignments ending at each word of ``a`` and ``b``; a match +1, an edit -penalty.
 
-    ``a`` and ``b`` are word numbers. A row of the table is a few vector
-    operations; gaps along ``b`` are a running maximum.
+    A passage starts from 0, or from ``floor``, the best of what came before it.
+    ``a`` and ``b`` are word numbers, below -1 for a gap that no passage crosses.
+    A row of the table is a few vector operations; gaps along ``b`` are a running maximum.
     """
     n, m = len(a), len(b)
-    if not n or not m:
-        return (0, 0, 0, 0, 0, 0, 0)
-    table = np.zeros((n + 1, m + 1), np.int32)
+    table = np.zeros((n + 1, m + 1), np.int32) if floor is None else floor.copy()
+    far = n + 1  # more than any alignment scores
     slope = penalty * np.arange(m, dtype=np.int32)
+    slope += np.cumsum(np.where(b < -1, far, 0), dtype=np.int32)
     gains: dict[int, np.ndarray] = {}
     for i in range(n):
         gain = gains.get(a[i])
         if gain is None:
-            gain = gains[a[i]] = np.where(b == a[i], 1, -penalty).astype(np.int32)
+            gain = gains[a[i]] = np.where(b == a[i], 1, np.where(b < -1, -far, -penalty)).astype(np.int32)
         row = np.maximum(table[i, :-1] + gain, table[i, 1:] - penalty)
-        np.maximum(row, 0, out=row)
+        np.maximum(row, table[i + 1, 1:], out=row)
         row += slope
         np.maximum.accumulate(row, out=row)
         row -= slope
         table[i + 1, 1:] = row
-    i, j = divmod(int(table.argmax()), m + 1)
-    score, i1, j1, matches, edits = int(table[i, j]), i, j, 0, 0
-    while table[i, j] > 0:
+    return table
+
+
+def _trace(table: np.ndarray, a: np.ndarray, b: np.ndarray, penalty: int, i: int, j: int, floor: np.ndarray | None = None) -> tuple[list[tuple[int, int]], int]:
+    """The matches of the alignment that ends at (i, j), in order, and its edits."""
+    matches, edits = [], 0
+    while i and j and table[i, j] > (0 if floor is None else floor[i, j]):
         here = table[i, j]
         if a[i - 1] == b[j - 1] and here == table[i - 1, j - 1] + 1:
-            i, j, matches = i - 1, j - 1, matches + 1
-        elif here == table[i - 1, j - 1] - penalty:
-            i, j, edits = i - 1, j - 1, edits + 1
+            i, j = i - 1, j - 1
+            matches.append((i, j))
+            continue
+        edits += 1
+        if here == table[i - 1, j - 1] - penalty:
+            i, j = i - 1, j - 1
         elif here == table[i - 1, j] - penalty:
-            i, edits = i - 1, edits + 1
+            i -= 1
         else:
-            j, edits = j - 1, edits + 1
-    return (score, i, i1, j, j1, matches, edits)
+            j -= 1
+    return matches[::-1], edits
+
+
+def _grow(matches: list[tuple[int, int]], edits: int, a: np.ndarray, b: np.ndarray, low: tuple[int, int], high: tuple[int, int]) -> list[tuple[list[tuple[int, int]], int]]:
+    """The passage, and the passages that come of crossing one more edit each time at an end with a match behind it."""
+    out = [(matches, edits)]
+    for _ in range(4):
+        (i0, j0), (i1, j1) = matches[0], matches[-1]
+        for di, dj in ((1, 1), (1, 0), (0, 1)):
+            i, j = i0 - di - 1, j0 - dj - 1
+            if i >= low[0] and j >= low[1] and a[i] == b[j] and min(b[j:j0]) >= -1:
+                grown = [(i, j)]
+                while i > low[0] and j > low[1] and a[i - 1] == b[j - 1]:
+                    i, j = i - 1, j - 1
+                    grown.insert(0, (i, j))
+                matches, edits = grown + matches, edits + 1
+                break
+            i, j = i1 + di + 1, j1 + dj + 1
+            if i < high[0] and j < high[1] and a[i] == b[j] and min(b[j1:j]) >= -1:
+                grown = [(i, j)]
+                while i + 1 < high[0] and j + 1 < high[1] and a[i + 1] == b[j + 1]:
+                    i, j = i + 1, j + 1
+                    grown.append((i, j))
+                matches, edits = matches + grown, edits + 1
+                break
+        else:
+            break
+        out.append((matches, edits))
+    return out
 
 
-def _passages(item_words: list[str], doc_words: list[str]) -> list[tuple]:
-    """The best passage, and the better of those before and after it in both texts."""
-    number: dict[str, int] = {}
-    item = np.array([number.setdefault(w, len(number)) for w in item_words], np.int32)
-    doc = np.array([number.get(w, -1) for w in doc_words], np.int32)
-    x = _best_local(item, doc)
-    if not x[0]:
-        return []
-    left = _best_local(item[: x[1]], doc[: x[3]])
-    right = _best_local(item[x[2] :], doc[x[4] :])
-    right = (right[0], right[1] + x[2], right[2] + x[2], right[3] + x[4], right[4] + x[4], right[5], right[6])
-    other = max(left, right)
-    return [x, other] if other[0] else [x]
+def _passages(a: np.ndarray, b: np.ndarray, penalty: int) -> tuple[int, list[tuple[list[tuple[int, int]], int]]]:
+    """The score of the best two passages in the order of both texts, and the matches and edits of each."""
+    one = _table(a, b, penalty)
+    before = np.maximum.accumulate(np.maximum.accumulate(one, axis=0), axis=1)
+    two = _table(a, b, penalty, before)
+    i, j = divmod(int(two.argmax()), len(b) + 1)
+    score = int(two[i, j])
+    second = _trace(two, a, b, penalty, i, j, before)
+    if second[0]:
+        # The score where the second begins is that of the first.
+        i, j = second[0][0]
+    first = np.unravel_index(int(one[: i + 1, : j + 1].argmax()), (i + 1, j + 1))
+    return score, [p for p in (_trace(one, a, b, penalty, int(first[0]), int(first[1])), second) if p[0]]
+
+
+def _within(present: list[bool], penalty: int) -> int:
+    """At most the score of two passages: words that the document lacks are edits wherever the others stand."""
+    in_one = one = in_two = two = 0
+    for p in present:
+        x = 1 if p else -penalty
+        in_two = max(in_two, one) + x
+        in_one = max(in_one, 0) + x
+        one = max(one, in_one)
+        two = max(two, in_two, one)
+    return two
+
+
+def _enough(passages: list[tuple[list[tuple[int, int]], int]], item: list[str], distinct: set[str]) -> bool:
+    """Whether passages cover enough of the item, edits and names counted over all of them together."""
+    covered = sum(m[-1][0] - m[0][0] + 1 for m, _ in passages)
+    length = sum(len(m) + e for m, e in passages)
+    if covered < COVER * len(item) or sum(e for _, e in passages) > EDITS * length:
+        return False
+    for m, _ in passages:
+        own = Counter(w for w in item[m[0][0] : m[-1][0] + 1] if w in distinct)
+        there = Counter(item[i] for i, _ in m)
+        if not own or 2 * sum((own & there).values()) < sum(own.values()):
+            return False
+    return True
 
 
 def holds(item: list[str], distinct: set[str], doc: list[str]) -> bool:
@@ -232,16 +302,34 @@ def holds(item: list[str], distinct: set[str], doc: list[str]) -> bool:
     # Names and numbers of the least coverage, half of them kept.
     if sum(w in seen for w in mine) < max(1, int(0.15 * len(mine))):
         return False
-    covered = 0
-    for _, i0, i1, j0, j1, matches, edits in _passages(item, doc):
-        if matches + edits < 5 or edits > EDITS * (matches + edits):
-            continue
-        own = [w for w in item[i0:i1] if w in distinct]
-        there = Counter(doc[j0:j1])
-        kept = sum((Counter(own) & there).values())
-        if own and 2 * kept >= len(own):
-            covered += i1 - i0
-    return covered >= COVER * len(item)
+    present = [w in seen for w in item]
+    # What a held item scores at least, its edits at their most.
+    least = {p: COVER * len(item) * (1 - (1 + p) * EDITS) for p in PENALTIES}
+    if any(_within(present, p) < least[p] for p in PENALTIES):
+        return False
+    number: dict[str, int] = {}
+    a = np.array([number.setdefault(w, len(number)) for w in item], np.int32)
+    b = np.array([-2 if w == GAP else number.get(w, -1) for w in doc], np.int32)
+    # A high penalty leaves out the words behind an edit at an end, a low one takes in what only looks alike.
+    for penalty in PENALTIES:
+        score, found = _passages(a, b, penalty)
+        if score < least[penalty]:
+            return False
+        grown = []
+        for k, (matches, edits) in enumerate(found):
+            low = found[0][0][-1] if k else (-1, -1)
+            high = found[1][0][0] if k == 0 and len(found) == 2 else (len(a), len(b))
+            grown.append([p for p in _grow(matches, edits, a, b, (low[0] + 1, low[1] + 1), high) if len(p[0]) + p[1] >= LEAST_PASSAGE])
+        for one in grown:
+            if any(_enough([p], item, distinct) for p in one):
+                return True
+        if len(grown) == 2 and any(_ordered(p, q) and _enough([p, q], item, distinct) for p in grown[0] for q in grown[1]):
+            return True
+    return False
+
+
+def _ordered(p: tuple[list[tuple[int, int]], int], q: tuple[list[tuple[int, int]], int]) -> bool:
+    return p[0][-1][0] < q[0][0][0] and p[0][-1][1] < q[0][0][1]
 
 
 def _windows(doc: list[str], spans: list[tuple[int, int]], n: int) -> list[str]:
@@ -252,7 +340,7 @@ def _windows(doc: list[str], spans: list[tuple[int, int]], n: int) -> list[str]:
         lo, hi = max(0, lo - n), hi + SHINGLE + n
         if end < 0 or lo > end:
             if out:
-                out.append("\0")
+                out.append(GAP)
             out += doc[lo:hi]
         else:
             out += doc[end:hi]
