@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -138,3 +139,31 @@ def test_passages_do_not_cross_left_out_text():
     n = len(ws) // 6
     parts = [ws[i * 2 * n : i * 2 * n + n - 1] for i in range(3)]
     assert not leakage.holds(ws, set(ws), [w for p in parts for w in (leakage.GAP, *p)])
+
+
+def test_names_and_numbers_of_both_passages_together(spark):
+    # The first half has no name and no number, the second one name and short numbers only.
+    plain = "whoever keeps the small register shall copy every line of it before the clerk returns from the market in the evening"
+    text = f"{plain} while the guild of Zerumi counted 7 crates and 12 barrels and the rest of the yard stayed empty until morning came"
+    ws = text.split()
+    others = [(101, text.replace("Zerumi", "Kobaru").replace("7", "3").replace("12", "40")), (102, text.replace("Zerumi", "Miruko").replace("7", "9").replace("12", "55"))]
+    docs = [
+        (1, " ".join([FILL, *ws[:12], FILL * 2, *ws[24:34], FILL])),
+        (2, " ".join([FILL, *ws[2:20], FILL])),
+        # The passage of all three items; the one name is the edited word, numbers stay; and other name and numbers, a sentence of the same form.
+        (3, " ".join([FILL, *ws[18:38], FILL]).replace("Zerumi", "somebody")),
+        (4, " ".join([FILL, *ws[20:38], FILL]).replace("Zerumi", "Kobaze").replace("7", "4").replace("12", "31")),
+    ]
+    assert run(spark, docs, [(100, text), *others]) == [(1, 100), (2, 100), (2, 101), (2, 102), (3, 100)]
+    # An item that occurs under three ids has no word of its own but numbers.
+    assert run(spark, [(1, FILL + plain + FILL)], [(i, plain) for i in range(3)]) == [(1, 0), (1, 1), (1, 2)]
+
+
+def test_filters_lose_nothing_with_every_number_distinctive(spark):
+    root = f"{oracle.DATA}/sf0.001"
+    docs = [(r.doc_id, r.text) for r in table(spark, root, "documents").select("doc_id", "text").collect() if r.text and len(r.text) < 3000]
+    items = [(r.item_id, leakage.words(r.text), r.text) for r in table(spark, root, "eval_items").orderBy("item_id").limit(60).collect()]
+    counted = Counter(w for _, ws, _ in items for w in set(ws))
+    distinct = {w for w, n in counted.items() if n <= leakage.DISTINCT_IN or w.isdigit()}
+    want = sorted((d, i) for d, t in docs for doc in [leakage.words(t)] for i, ws, _ in items if leakage.holds(ws, distinct & set(ws), doc))
+    assert run(spark, docs, [(i, t) for i, _, t in items]) == want

@@ -20,9 +20,9 @@ dropped, names and numbers included. Five-word shingles could not survive that
    neighbouring diagonals, the positional bound.
 5. Verification: the best two passages in order within the windows of the hits,
    by local alignment, measured from the first to the last matched word with the
-   edits of both taken together; passages whose names and numbers (words of at
-   most ``DISTINCT_IN`` items) differ are sentences of the same form and do not
-   count.
+   edits of both taken together; passages that together lack half of their names
+   and numbers (words of at most ``DISTINCT_IN`` items and words of digits, by
+   their place in the alignment) are sentences of the same form and do not count.
 
 Defined results: null, empty and blank texts, and items or documents with a
 null id, give nothing; items of fewer than ``LEAST_WORDS`` words are left out;
@@ -56,6 +56,8 @@ LEAST_WORDS = 8
 DISTINCT_IN = 2
 #: Words of the shortest passage; shorter ones are shared phrases.
 LEAST_PASSAGE = 5
+#: Words between two passages up to which they are one sentence with other words in it.
+BETWEEN = 9
 #: Of an edit against a match, tried in turn.
 PENALTIES = (3, 2, 1)
 #: Stands for words left out between two windows.
@@ -287,21 +289,19 @@ def _enough(passages: list[tuple[list[tuple[int, int]], int]], item: list[str],
     length = sum(len(m) + e for m, e in passages)
     if covered < COVER * len(item) or sum(e for _, e in passages) > EDITS * length:
         return False
-    for m, _ in passages:
-        own = Counter(w for w in item[m[0][0] : m[-1][0] + 1] if w in distinct)
-        there = Counter(item[i] for i, _ in m)
-        if not own or 2 * sum((own & there).values()) < sum(own.values()):
-            return False
-    return True
+    marks = [w.isdigit() or w in distinct for w in item]
+    own = sum(sum(marks[m[0][0] : m[-1][0] + 1]) for m, _ in passages)
+    if len(passages) == 2:
+        # A few words between that both texts have in like number were changed: their names and numbers are lost ones.
+        (i0, j0), (i1, j1) = passages[0][0][-1], passages[1][0][0]
+        if i1 - i0 <= BETWEEN and j1 - j0 <= BETWEEN:
+            own += sum(marks[i0 + 1 : i1])
+    return 2 * sum(marks[i] for m, _ in passages for i, _ in m) >= own
 
 
 def holds(item: list[str], distinct: set[str], doc: list[str]) -> bool:
-    """Whether one or two passages of ``doc`` cover enough of the item."""
-    mine = [w for w in item if w in distinct]
+    """Whether one or two passages of ``doc`` cover enough of the item; every number is distinctive."""
     seen = set(doc)
-    # Names and numbers of the least coverage, half of them kept.
-    if sum(w in seen for w in mine) < max(1, int(0.15 * len(mine))):
-        return False
     present = [w in seen for w in item]
     # What a held item scores at least, its edits at their most.
     least = {p: COVER * len(item) * (1 - (1 + p) * EDITS) for p in PENALTIES}
@@ -391,9 +391,9 @@ def leaked_items(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame,
     beside = F.exists("spans", lambda a: F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, b: s + F.when((b["d"] == a["d"]) | (b["d"] == a["d"] + 1), b["n"]).otherwise(0)) >= F.col("on_diagonal"))
     chosen = pairs.where(F.col("prefix") & (F.col("n") >= F.col("t")) & beside).select("row", "item", "spans")
 
-    # A word of few items, or a number of some length, tells one item from others of the same form.
+    # A word of few items tells one item from others of the same form; that numbers do, holds() knows.
     each = known.select("item", F.explode(F.array_distinct("words")).alias("w"))
-    rare = each.groupBy("w").agg(F.count(F.lit(1)).alias("in_items")).where((F.col("in_items") <= DISTINCT_IN) | F.col("w").rlike(r"^\d{3,}$"))
+    rare = each.groupBy("w").agg(F.count(F.lit(1)).alias("in_items")).where(F.col("in_items") <= DISTINCT_IN)
     distinct = each.join(rare, "w", "left_semi").groupBy("item").agg(F.collect_list("w").alias("distinct"))
     texts = known.select("item", "words").join(distinct, "item", "left")
     # A document's pairs are verified together, its words taken once; of many items by slices of about ITEMS_AT_ONCE.
