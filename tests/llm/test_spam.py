@@ -79,3 +79,21 @@ def test_half_a_page_is_no_case(spark):
 
 def test_query(spark):
     assert 0 < queries.p10_found(spark, f"{oracle.DATA}/sf0.001").count() < 40
+
+
+def test_long_pages_with_prose_at_one_end_or_within(spark):
+    rnd = random.Random(5)
+
+    def pages(size):
+        words = " ".join(rnd.choice(["kettle", "best", "cheap"]) for _ in range(2000))[:size]
+        links = "\n".join(f"https://{rnd.choice('abc') * 6}-shop.example/{rnd.randrange(9999)}/{rnd.choice('xyz') * 5}.html" for _ in range(300))[:size]
+        return words, links
+
+    texts = []
+    for size, share in ((2100, 0.25), (4000, 0.15), (6000, 0.1), (6000, 0.25)):
+        prose = (PROSE * 20)[: int(size * share)]
+        for page in pages(size - len(prose)):
+            texts += [prose + "\n" + page, page + "\n" + prose, page[: size // 3] + "\n" + prose + "\n" + page[size // 3 :]]
+    half = [(PROSE * 20)[:2000] + "\n" + page for page in pages(2000)]
+    found = run(spark, [*texts, *half, *[PROSE * (1 + i % 20) for i in range(200)]])
+    assert found == set(range(len(texts)))

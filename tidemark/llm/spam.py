@@ -8,11 +8,14 @@ of links or tags of ever other words the second. Both ratios are divided by
 the median of all blocks of the same language and length class, taken over the
 whole corpus; a block far below it is extremely redundant.
 
-A redundant block is confirmed by the density of sentences: ends of sentences
-per character, where an end counts only if the unit reads like a sentence (it has
-function words and does not repeat the text's dominating words). Last, an exact
-share is taken: the characters in units of links, tags or stuffed keywords, in
-confirmed blocks, must be ``SHARE`` of the text. Units with numbers (order
+A text's redundant blocks are confirmed by the density of sentences: ends of
+sentences per character, where an end counts only if the unit reads like a sentence
+(it has function words and does not repeat the text's dominating words). In a text
+that may be a case, prose that stands by itself (``STRETCH`` sentences and more
+between units of spam) makes blocks of its own, so that an introduction takes
+nothing from the spam beside it. Last, an exact share is taken: the characters in
+units of links, tags or stuffed keywords, in redundant blocks, must be ``SHARE`` of
+the whole text. Units with numbers (order
 lists, specifications, logs, stock tables), JSON and odd characters never count.
 
 Defined results: null, empty and blank texts and those of fewer than
@@ -28,6 +31,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +44,8 @@ BLOCK = 2000
 RAW_CUT, SHAPE_CUT = 0.8, 0.75
 #: Sentence ends per character; a block of sentences has about 0.013.
 SENTENCES = 0.004
+#: Sentences that follow one another without spam between them are prose beside it, not sentences within it.
+STRETCH = 3
 #: A length class of fewer blocks has no usual ratio: its blocks all go on to the confirmation.
 LEAST_BLOCKS = 20
 SHARE = 0.7
@@ -66,6 +72,7 @@ _JSON = re.compile(r'"[\w ]+"\s*:|^[\s{}\[\],]+$')
 _UNUSUAL = re.compile(r"[^A-Za-zÀ-ɏ0-9\s.,;:!?#|/\\·•»>›\-–—()\[\]'’\"“”*+&@~_=]")
 _DIGIT = re.compile(r"\d")
 _MARK = "\x00"
+_SPAM = frozenset(["link", "stuffed", "tags"])
 _END = re.compile(r"[.!?…][\"'”)]*\s*$")
 
 
@@ -139,20 +146,36 @@ def measure(text: str) -> list[tuple[int, int, int, int, int]]:
     keywords = {w for u in units for w, after in zip(u[2], u[2][1:]) if w == after and w in frequent} if frequent else frequent
     functional = FUNCTION_WORDS - keywords if keywords else FUNCTION_WORDS
     dominating = {w for w, c in counts.items() if c >= 4 and c >= 0.08 * total and w not in functional and w not in NEUTRAL_WORDS and not _DIGIT.search(w)}
+    judged = [(u, _unit_kind(u[0], u[1], u[2], u[3], dominating, functional)) for u in units]
+    spam = sum(len(u[0].strip()) for u, k in judged if k in _SPAM)
+    if spam < SHARE * sum(len(u[0].strip()) for u, _ in judged):
+        return _blocks(judged)
+    rest, prose = [], []
+    for spammy, stretch in groupby(judged, lambda x: x[1] in _SPAM):
+        held = list(stretch)
+        (rest if spammy or sum(map(_ends, held)) < STRETCH else prose).extend(held)
+    return _blocks(rest) + _blocks(prose)
+
+
+def _ends(unit: tuple) -> bool:
+    return unit[1] == "sentence" and bool(_END.search(unit[0][0]))
+
+
+def _blocks(judged: list[tuple]) -> list[tuple[int, int, int, int, int]]:
+    """Units with their kinds to blocks of about ``BLOCK`` characters."""
     blocks, held = [], []
 
     def close() -> None:
         whole = "\n".join(u[0] for u, _ in held)
-        ends = sum(k == "sentence" and bool(_END.search(u[0])) for u, k in held)
-        spam = sum(len(u[0].strip()) for u, k in held if k in ("link", "stuffed", "tags"))
+        spam = sum(len(u[0].strip()) for u, k in held if k in _SPAM)
         chars = sum(len(u[0].strip()) for u, _ in held)
-        blocks.append((chars, _packed(whole), _packed("\n".join(_shape(u[1]) for u, _ in held)), ends, spam))
+        blocks.append((chars, _packed(whole), _packed("\n".join(_shape(u[1]) for u, _ in held)), sum(map(_ends, held)), spam))
         held.clear()
 
     size = 0
-    for u in units:
-        held.append((u, _unit_kind(u[0], u[1], u[2], u[3], dominating, functional)))
-        size += len(u[0])
+    for unit in judged:
+        held.append(unit)
+        size += len(unit[0][0])
         if size >= BLOCK:
             close()
             size = 0
@@ -190,8 +213,10 @@ def stuffed_pages(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     overall = blocks.groupBy("size_class").agg(F.percentile_approx("raw", 0.5, 1000).alias("all_raw"), F.percentile_approx("shape", 0.5, 1000).alias("all_shape"), F.count(F.lit(1)).alias("n"))
     judged = judged.join(overall, "size_class").withColumn("usual_raw", F.greatest("usual_raw", "all_raw")).withColumn("usual_shape", F.greatest("usual_shape", "all_shape"))
     redundant = (F.col("raw") <= RAW_CUT * F.col("usual_raw")) | (F.col("shape") <= SHAPE_CUT * F.col("usual_shape")) | (F.col("n") < LEAST_BLOCKS)
-    confirmed = F.col("sentences") <= SENTENCES * F.col("chars")
-    per_text = judged.groupBy("row").agg(F.sum("chars").alias("chars"), F.sum(F.when(redundant & confirmed, F.col("spam")).otherwise(0)).alias("spam"))
-    found = per_text.where((F.col("chars") >= MIN_CHARS) & (F.col("spam") >= SHARE * F.col("chars")))
+    # Density of sentences over all blocks of a text that hold spam.
+    beside = [F.sum(F.when(F.col("spam") > 0, F.col(c)).otherwise(0)).alias(f"run_{c}") for c in ("sentences", "chars")]
+    per_text = judged.groupBy("row").agg(F.sum("chars").alias("chars"), F.sum(F.when(redundant, F.col("spam")).otherwise(0)).alias("spam"), *beside)
+    confirmed = F.col("run_sentences") <= SENTENCES * F.col("run_chars")
+    found = per_text.where(confirmed & (F.col("chars") >= MIN_CHARS) & (F.col("spam") >= SHARE * F.col("chars")))
     shares = found.select("row", (F.col("spam") / F.col("chars")).alias("share"))
     return numbered.select("row", "key").join(shares, "row").select(F.col("key").alias(key), "share")
