@@ -70,3 +70,21 @@ def test_random_graphs(spark):
 def test_empty_and_null_ids(spark):
     assert run(spark, [])[2] == {}
     assert run(spark, [(None, "a"), ("a", None)])[2] == {"a": ("a", 0, 0)}
+
+
+@pytest.mark.parametrize("name", ["loops", "only loop", "chain"])
+def test_descendants_of_every_node(spark, name):
+    edges = CASES[name]
+    kids = {}
+    for i, p in edges:
+        kids.setdefault(p, []).append(i)
+    want = []
+    for i, _ in edges:
+        below, todo = set(), [i]
+        while todo:
+            new = [c for c in kids.get(todo.pop(), []) if c not in below]
+            below.update(new)
+            todo += new
+        want += [(i, x) for x in below - {i}]
+    levels = run(spark, edges)[1]
+    assert sorted((r.ancestor, r.id) for r in hierarchy.all_descendants(levels, width=8).collect()) == sorted(want)

@@ -202,3 +202,23 @@ def descendants(levels: DataFrame, of: DataFrame, width: int = 4096) -> DataFram
     split = ranges.withColumn("block", F.explode(F.sequence(F.floor((F.col("lo") + 1) / width), F.floor(F.col("hi") / width))))
     at = levels.where(F.col("pos").isNotNull()).select("id", "pos", F.floor(F.col("pos") / width).alias("block"))
     return split.join(at, "block").where((F.col("pos") > F.col("lo")) & (F.col("pos") <= F.col("hi"))).select("ancestor", "id")
+
+
+def all_descendants(levels: DataFrame, width: int = 4096) -> DataFrame:
+    """(ancestor, id) for every id, loops included: the distinct other ids reached downwards.
+
+    Trees by their ranges. A loop is cut at each of its nodes, which gives
+    ranges to what hangs below it; a node on it reaches all that the others carry.
+    """
+    found = descendants(levels, levels, width)
+    edges = materialize(levels.where(F.col("depth") < 0).select("id", "parent"), "loop-edges")
+    if not edges.limit(1).count():
+        return found
+    on_loop = _loop_nodes(_unprocessed(edges, "loops"))
+    loops = materialize(_loop_labels(edges, on_loop), "loops")
+    mark = loops.select("id", F.lit(True).alias("on_loop"))
+    cut = edges.join(mark, "id", "left").select("id", F.when(F.col("on_loop").isNull(), F.col("parent")).alias("parent"))
+    below = materialize(hierarchy(cut), "loop-levels")
+    carried = below.select("id", "root").join(loops.select(F.col("id").alias("root"), "loop"), "root")
+    around = loops.select(F.col("id").alias("ancestor"), "loop").join(carried, "loop").where(F.col("ancestor") != F.col("root")).select("ancestor", "id")
+    return found.unionByName(descendants(below, below, width)).unionByName(around)

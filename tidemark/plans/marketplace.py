@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import e4, label_key, ref_key
 from tidemark.operators import cdc_apply, changes, dedup_index, feature_table, hierarchy, history, orphans, schema_drift
-from tidemark.session import scratch
+from tidemark.session import materialize, scratch
 from tidemark.sources.tables import table
 
 ORDER_STATUSES = ("PENDING", "PAID", "PROCESSING", "SHIPPED", "DELIVERED", "CANCELLED")
@@ -62,6 +62,12 @@ def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("ancestor").alias("root_category_id"), F.col("id").alias("category_id"))
 
 
+def p3_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of a category and another one reached from it downwards, inner ones and those on or below loops included."""
+    found = hierarchy.all_descendants(materialize(_category_levels(spark, d), "levels"))
+    return found.select(F.col("ancestor").alias("category_id"), F.col("id").alias("descendant_id"))
+
+
 def _references(spark: SparkSession, d: str) -> tuple[list[orphans.Child], list[orphans.Parent]]:
     def child(name: str, row_id: str, refs: dict[str, str]) -> orphans.Child:
         return orphans.Child(table(spark, d, name), name, row_id, "created_at", "processed_at", refs)
@@ -149,4 +155,4 @@ def _unified(entity: str):
     return query
 
 
-QUERIES = {"p2_found": p2_found, "p2_features": p2_features, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p4_found": p4_found, "p4_state": p4_state, "p5_found": p5_found, "p1_found": p1_found, **{f"p1_{e}_table": _unified(e) for e in ("orders", "products", "payments", "shipments", "inventories", "reviews")}}
+QUERIES = {"p2_found": p2_found, "p2_features": p2_features, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_all_descendants": p3_all_descendants, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p4_found": p4_found, "p4_state": p4_state, "p5_found": p5_found, "p1_found": p1_found, **{f"p1_{e}_table": _unified(e) for e in ("orders", "products", "payments", "shipments", "inventories", "reviews")}}
