@@ -167,3 +167,14 @@ def test_filters_lose_nothing_with_every_number_distinctive(spark):
     distinct = {w for w, n in counted.items() if n <= leakage.DISTINCT_IN or w.isdigit()}
     want = sorted((d, i) for d, t in docs for doc in [leakage.words(t)] for i, ws, _ in items if leakage.holds(ws, distinct & set(ws), doc))
     assert run(spark, docs, [(i, t) for i, _, t in items]) == want
+
+
+def test_edited_pieces_far_apart_in_long_texts(spark):
+    items = [(i, " ".join(ws)) for i, t in ITEMS if len(ws := leakage.words(t)[:60]) == 60]
+    docs = []
+    for i, t in items:
+        ws = t.split()
+        one, two = ws[3:15], ws[40:52]
+        one[6], two[5] = "indeed", "indeed"
+        docs.append((i, " ".join([FILL, *one, FILL * 60, *two, FILL])))
+    assert items and run(spark, docs, items) == [(i, i) for i, _ in items]

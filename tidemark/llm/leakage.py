@@ -9,8 +9,8 @@ dropped, names and numbers included. Five-word shingles could not survive that
 
 1. Items: shingles by 64-bit hash, and a Bloom filter of fixed size over them.
 2. Corpus, one pass: of each document the positions of shingles in the filter;
-   only documents with enough of them within ``WINDOW`` words go on, with their
-   text. The corpus is never read or shuffled again.
+   only documents with enough of them, those of one passage within ``WINDOW``
+   words, go on, with their text. The corpus is never read or shuffled again.
 3. Rarity: shingles of an item are ordered by how often the corpus has them.
    An item that must share t of n shingles with a document shares one of its
    n - t + 1 rarest: its prefix.
@@ -162,8 +162,8 @@ def _bloom(items: DataFrame) -> bytes:
 # --- Corpus ---------------------------------------------------------------------
 
 
-def _suspects(batches: Iterator[pa.RecordBatch], bloom: bytes, least: int) -> Iterator[pa.RecordBatch]:
-    """(doc, text, pos, hash) of documents with ``least`` filter hits within WINDOW words."""
+def _suspects(batches: Iterator[pa.RecordBatch], bloom: bytes, least: int, near: int) -> Iterator[pa.RecordBatch]:
+    """(doc, text, pos, hash) of documents with ``least`` filter hits, ``near`` of them, one passage's, within WINDOW words."""
     bits = np.unpackbits(np.frombuffer(bloom, np.uint8)).view(bool)
     hasher = _Hasher()
     for b in batches:
@@ -172,7 +172,7 @@ def _suspects(batches: Iterator[pa.RecordBatch], bloom: bytes, least: int) -> It
             h = hasher.shingles(words(text))
             one, two = _bloom_slots(h)
             at = np.flatnonzero(bits[one] & bits[two])
-            if len(at) >= least and (at[least - 1 :] - at[: len(at) - least + 1]).min() <= WINDOW:
+            if len(at) >= least and (at[near - 1 :] - at[: len(at) - near + 1]).min() <= WINDOW:
                 keep.append(i)
                 positions.append(at.astype(np.int32))
                 hashes.append(h[at].view(np.int64))
@@ -372,9 +372,9 @@ def leaked_items(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame,
     out = docs.select(F.col(doc_key).alias("doc")).limit(0).select(F.col("doc").alias(doc_key), F.lit(None).cast(item_type).alias(item_key))
     if shortest is None:
         return out
-    bloom, least = _bloom(known), needed(shortest)[0]
+    bloom, (least, near) = _bloom(known), needed(shortest)
     corpus = docs.select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("text")).where(F.col("doc").isNotNull())
-    kept = corpus.mapInArrow(lambda it: _suspects(it, bloom, least), f"doc {doc_type}, text string, pos array<int>, hash array<bigint>")
+    kept = corpus.mapInArrow(lambda it: _suspects(it, bloom, least, near), f"doc {doc_type}, text string, pos array<int>, hash array<bigint>")
     suspects = materialize(kept.withColumn("row", F.monotonically_increasing_id()), "suspects")
     hits = suspects.select("row", F.explode(F.arrays_zip("pos", "hash")).alias("x")).select("row", F.col("x.pos").alias("pos"), F.col("x.hash").alias("h"))
 
