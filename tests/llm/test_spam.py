@@ -97,3 +97,38 @@ def test_long_pages_with_prose_at_one_end_or_within(spark):
     half = [(PROSE * 20)[:2000] + "\n" + page for page in pages(2000)]
     found = run(spark, [*texts, *half, *[PROSE * (1 + i % 20) for i in range(200)]])
     assert found == set(range(len(texts)))
+
+
+#: Ordinary prose in languages that the corpus has too few texts of to learn from.
+FOREIGN = {
+    "tr": "Sabah erkenden pazara gittim ve taze ekmek aldım. Komşumuz bahçedeki ağaçları buduyordu. Çocuklar okuldan dönünce birlikte yemek yedik. Akşam hava serinledi, pencereleri kapattık. Yarın annem şehirden gelecek ve hafta sonu bizde kalacak. Babam eski radyoyu onarmaya çalışıyor. ",
+    "fi": "Aamulla satoi vettä, mutta iltapäivällä aurinko paistoi järven yllä. Kävimme kaupassa ostamassa leipää ja juustoa. Naapurin koira haukkui pitkään portin vieressä. Illalla luimme kirjoja takkatulen ääressä. Huomenna matkustamme junalla pohjoiseen tapaamaan ystäviä. ",
+    "id": "Pagi tadi saya pergi ke pasar membeli sayur dan ikan segar. Tetangga sebelah sedang memperbaiki atap rumahnya. Anak anak bermain layang layang di lapangan. Sore hari hujan turun cukup deras sekali. Besok kami akan berkunjung ke rumah nenek di desa. ",
+    "ru": "Утром мы пошли на рынок и купили свежий хлеб. Сосед чинил старую крышу своего дома. Дети играли во дворе до самого вечера. Потом начался сильный дождь, и все вернулись домой. Завтра приедет бабушка и привезёт яблоки. ",
+    "el": "Το πρωί πήγαμε στην αγορά και αγοράσαμε φρέσκο ψωμί. Ο γείτονας επισκεύαζε τη στέγη του σπιτιού. Τα παιδιά έπαιζαν στην αυλή μέχρι το βράδυ. Αύριο θα έρθει η γιαγιά μας από το χωριό. ",
+}
+
+
+def test_prose_of_languages_without_texts_to_learn_from(spark):
+    rnd = random.Random(8)
+    for times in (1, 3):
+        texts = [t * times for t in FOREIGN.values()]
+        stuffed = " ".join(rnd.choice(["чайник", "купить", "дёшево", "лампа", "скидка", "магазин"]) for _ in range(150))
+        tags = " | ".join(rnd.choice(["Чайник", "Лампа", "Коврик"]) + " " + rnd.choice(["Зола", "Мира", "Тове", "Кури", "Пано"]) for _ in range(60))
+        assert run(spark, [*texts, stuffed, tags, *[PROSE * (1 + i % 8) for i in range(120)]]) == {len(texts), len(texts) + 1}
+
+
+def test_function_words_are_learned(spark):
+    prose = FOREIGN["ru"].split(". ")
+    rnd = random.Random(2)
+    rows = [("ru", ". ".join(rnd.sample(prose, 4)) + " и на" ) for _ in range(60)] + [("en", PROSE)] * 60 + [("xx", "the kettle and the lamp")] * 3
+    df = spark.createDataFrame(rows, "lang string, text string")
+    found = {r.word for r in spam.learn_function_words(df).collect()}
+    assert {"и", "на", "the", "i've"} & found >= {"и", "на"} and "kettle" not in found
+    assert spam.learn_function_words(df.limit(0)).collect() == []
+
+
+def test_mixed_scripts_and_symbols_are_odd():
+    words = frozenset()
+    assert spam._unit_kind("кот x漢字 κόσμος ab كتاب", "кот x漢字 κόσμος ab كتاب", ["кот", "x漢字", "κόσμος", "ab", "كتاب"], 0, set(), words) == "odd"
+    assert spam._unit_kind("кот дом лес", "кот дом лес", ["кот", "дом", "лес"], 0, set(), words) == "tags"

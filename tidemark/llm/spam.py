@@ -1,5 +1,9 @@
 """Keyword-stuffed pages, link lists and product-tag pages (problem 10).
 
+Function words, which sentences have and lists do without, are learned from the
+corpus: of each language, the words that most texts have, until they make up
+``COVER`` of all words of its texts. Languages of few texts are taken together.
+
 A text is cut into units (lines, sentences) and blocks of about ``BLOCK``
 characters. Each block is compressed twice: as it is, and as its shape, in
 which a link, a number and a content word become one symbol each and only
@@ -10,58 +14,64 @@ whole corpus; a block far below it is extremely redundant.
 
 A text's redundant blocks are confirmed by the density of sentences: ends of
 sentences per character, where an end counts only if the unit reads like a sentence
-(it has function words and does not repeat the text's dominating words). In a text
+(it has function words and does not repeat the text's dominating words). A function
+word that is most of a text's function words belongs to names there ("caixa de som")
+and counts only in units that end like sentences; a text without known function
+words and stuffed units is of an unknown language and has sentences if it has as
+many ends of them. In a text
 that may be a case, prose that stands by itself (``STRETCH`` sentences and more
 between units of spam) makes blocks of its own, so that an introduction takes
 nothing from the spam beside it. Last, an exact share is taken: the characters in
 units of links, tags or stuffed keywords, in redundant blocks, must be ``SHARE`` of
 the whole text. Units with numbers (order
-lists, specifications, logs, stock tables), JSON and odd characters never count.
+lists, specifications, logs, stock tables), JSON and odd characters never count;
+letters of one script are not odd, mixed scripts and symbols are.
 
 Defined results: null, empty and blank texts and those of fewer than
 ``MIN_CHARS`` characters are no cases; a null language is a class of its
-own; repeated texts are judged alike; repeated ids give a row each.
+own; repeated texts are judged alike; repeated ids give a row each; writing
+without blanks between words is odd.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.session import materialize
 
 BLOCK = 2000
 #: A block is redundant if one of its ratios is at most this part of the usual one.
 RAW_CUT, SHAPE_CUT = 0.8, 0.75
+#: Ratios that prose has at least, by length class from the one of 128 characters on: a corpus of copies is no measure of itself.
+PROSE_RAW, PROSE_SHAPE = (0.78, 0.05), (0.26, 0.02)
 #: Sentence ends per character; a block of sentences has about 0.013.
 SENTENCES = 0.004
 #: Sentences that follow one another without spam between them are prose beside it, not sentences within it.
 STRETCH = 3
-#: A length class of fewer blocks has no usual ratio: its blocks all go on to the confirmation.
-LEAST_BLOCKS = 20
 SHARE = 0.7
 MIN_CHARS = 150
 
-#: Function words of English, Portuguese and Spanish that keyword lists do without.
-FUNCTION_WORDS = frozenset(
-    """the a an is was it its it's isn't and but for from at my our i i've if not that this with has had have said
-    after please on in of be will your you by they he she than which when each so then only there as are were don't can
-    should o os as um uma que e é não na no nas nos do da dos das em por para pois mas já foi se porém ao à sua seu
-    minha depois antes até quase está estava são com el la los las un una y es en si pero fue con mi del al tras porque
-    aunque lo todo sigue su""".split()
-)
-
-#: Words that sentences and keyword lists both use: neither sign of a sentence nor a keyword.
-NEUTRAL_WORDS = frozenset("de ou or tan más mais to".split())
+#: Share of a language's words, each counted once a text, that its function words make up.
+COVER = 0.1
+#: A word must stand in this share of a language's texts to be one.
+SPREAD = 0.1
+#: Languages of fewer texts are taken together.
+LEAST_TEXTS = 50
+#: Of a text's function words, the share above which one belongs to names.
+MOST = 0.5
+#: Function words per word below which a text is of an unknown language.
+UNKNOWN = 0.02
 
 _LINK = re.compile(r"<a\s[^>]*>[^<]*</a>|\[[^\]]*\]\([^)]*\)|(?:https?:)?//[^\s|]+|\bwww\.\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/\S*", re.I)
 _BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]|<br\s*/?>|</?(?:p|div|li|ul|ol|h\d|td|tr|table)\b[^>]*>|(?<=[.!?…])\s+", re.I)
@@ -76,8 +86,18 @@ _SPAM = frozenset(["link", "stuffed", "tags"])
 _END = re.compile(r"[.!?…][\"'”)]*\s*$")
 
 
-def _unit_kind(raw: str, rest: str, words: list[str], links: int, dominating: set[str], functional: frozenset[str] = FUNCTION_WORDS) -> str:
-    """One of link, data, none, odd, stuffed, sentence, tags."""
+def _scripts(text: str) -> int:
+    """How many characters are no letters of the script that most letters are of, nor ordinary punctuation."""
+    letters = [c for c in text if c.isalpha()]
+    named = Counter(unicodedata.name(c, "").partition(" ")[0] for c in letters)
+    unusual = _UNUSUAL.findall(text)
+    if not named or named.most_common(1)[0][0] == "LATIN":
+        return len(unusual)
+    return len([c for c in unusual if not (c.isalpha() or unicodedata.combining(c))]) + len(letters) - named.most_common(1)[0][1]
+
+
+def _unit_kind(raw: str, rest: str, words: list[str], links: int, dominating: set[str], functional: frozenset[str], plain: bool = False) -> str:
+    """One of link, data, none, odd, stuffed, sentence, tags; ``plain`` text has no unusual characters."""
     size = len(raw.strip())
     if links >= 0.5 * size:
         return "link"
@@ -87,7 +107,9 @@ def _unit_kind(raw: str, rest: str, words: list[str], links: int, dominating: se
         return "none"
     letters = sum(map(len, words))
     solid = len("".join(rest.split()))
-    if max(map(len, words)) > 45 or letters < 0.6 * solid or len(_UNUSUAL.findall(rest)) > 0.07 * len(rest):
+    if max(map(len, words)) > 45 or letters < 0.6 * solid:
+        return "odd"
+    if not plain and len(_UNUSUAL.findall(rest)) > 0.07 * len(rest) and _scripts(rest) > 0.07 * len(rest):
         return "odd"
     n = len(words)
     numbers = len([w for w in words if not w.isalpha() and _DIGIT.search(w)])
@@ -105,19 +127,18 @@ def _links(unit: str) -> list[str]:
     return _LINK.findall(unit) if "/" in unit or "](" in unit or "ww." in unit.lower() else []
 
 
-@lru_cache(maxsize=100_000)
-def _symbol(token: str) -> str:
-    if token == _MARK:
-        return "L"
-    if not token[0].isalnum():
-        return token
-    low = token.lower()
-    return low if low in FUNCTION_WORDS else "w" if token.isalpha() else "0" if _DIGIT.search(token) else "w"
-
-
-def _shape(rest: str) -> str:
-    """Links, numbers and content words as one symbol each; ``rest`` has marks for its links."""
-    return " ".join(map(_symbol, _TOKEN.findall(rest)))
+def _shape(rest: str, functional: frozenset[str], known: dict[str, str]) -> str:
+    """Links, numbers and content words as one symbol each; ``rest`` has marks for its links, ``known`` remembers symbols."""
+    out = []
+    for token in _TOKEN.findall(rest):
+        symbol = known.get(token)
+        if symbol is None:
+            low = token.lower()
+            symbol = "L" if token == _MARK else token if not token[0].isalnum() else low if low in functional else "0" if not token.isalpha() and _DIGIT.search(token) else "w"
+            if len(known) < 200_000:
+                known[token] = symbol
+        out.append(symbol)
+    return " ".join(out)
 
 
 def _packed(text: str) -> int:
@@ -125,11 +146,13 @@ def _packed(text: str) -> int:
     return max(1, len(zlib.compress(text.encode("utf-8", "replace"), 6)) - 8)
 
 
-def measure(text: str) -> list[tuple[int, int, int, int, int]]:
+def measure(text: str, function_words: frozenset[str], known: dict[str, str] | None = None) -> list[tuple[int, int, int, int, int]]:
     """(chars, raw bytes, shape bytes, sentences, spam chars) of each block of a text."""
+    known = {} if known is None else known
     units = []
     counts: Counter = Counter()
     total = 0
+    plain = not _UNUSUAL.search(text)
     for raw in _BREAK.split(text):
         if not raw or not raw.strip():
             continue
@@ -142,26 +165,34 @@ def measure(text: str) -> list[tuple[int, int, int, int, int]]:
         total += len(words)
         units.append((raw, rest, words, sum(map(len, links))))
     # A function word that is a fifth of a text and stands beside itself is a keyword there (a brand of that name).
-    frequent = {w for w, c in counts.items() if c >= 15 and c >= 0.2 * total and w in FUNCTION_WORDS}
+    own = {w: c for w, c in counts.items() if w in function_words}
+    frequent = {w for w, c in own.items() if c >= 15 and c >= 0.2 * total}
     keywords = {w for u in units for w, after in zip(u[2], u[2][1:]) if w == after and w in frequent} if frequent else frequent
-    functional = FUNCTION_WORDS - keywords if keywords else FUNCTION_WORDS
-    dominating = {w for w, c in counts.items() if c >= 4 and c >= 0.08 * total and w not in functional and w not in NEUTRAL_WORDS and not _DIGIT.search(w)}
-    judged = [(u, _unit_kind(u[0], u[1], u[2], u[3], dominating, functional)) for u in units]
+    functional = function_words - keywords if keywords else function_words
+    in_all = sum(own.values())
+    of_names = {w for w, c in own.items() if c >= 3 and c >= MOST * in_all}
+    listed = functional - of_names if of_names else functional
+    dominating = {w for w, c in counts.items() if c >= 4 and c >= 0.08 * total and w not in functional and not _DIGIT.search(w)}
+    judged = [(u, _unit_kind(*u, dominating, functional if listed is functional or _END.search(u[0]) else listed, plain)) for u in units]
+    if total >= 20 and in_all < UNKNOWN * total and all(k != "stuffed" for _, k in judged):
+        ends = len([u for u in units if len(u[2]) >= 3 and _END.search(u[0])])
+        if ends > SENTENCES * sum(len(u[0].strip()) for u in units):
+            judged = [(u, "sentence" if k == "tags" else k) for u, k in judged]
     spam = sum(len(u[0].strip()) for u, k in judged if k in _SPAM)
     if spam < SHARE * sum(len(u[0].strip()) for u, _ in judged):
-        return _blocks(judged)
+        return _blocks(judged, functional, known)
     rest, prose = [], []
     for spammy, stretch in groupby(judged, lambda x: x[1] in _SPAM):
         held = list(stretch)
         (rest if spammy or sum(map(_ends, held)) < STRETCH else prose).extend(held)
-    return _blocks(rest) + _blocks(prose)
+    return _blocks(rest, functional, known) + _blocks(prose, functional, known)
 
 
 def _ends(unit: tuple) -> bool:
     return unit[1] == "sentence" and bool(_END.search(unit[0][0]))
 
 
-def _blocks(judged: list[tuple]) -> list[tuple[int, int, int, int, int]]:
+def _blocks(judged: list[tuple], functional: frozenset[str], known: dict[str, str]) -> list[tuple[int, int, int, int, int]]:
     """Units with their kinds to blocks of about ``BLOCK`` characters."""
     blocks, held = [], []
 
@@ -169,7 +200,7 @@ def _blocks(judged: list[tuple]) -> list[tuple[int, int, int, int, int]]:
         whole = "\n".join(u[0] for u, _ in held)
         spam = sum(len(u[0].strip()) for u, k in held if k in _SPAM)
         chars = sum(len(u[0].strip()) for u, _ in held)
-        blocks.append((chars, _packed(whole), _packed("\n".join(_shape(u[1]) for u, _ in held)), sum(map(_ends, held)), spam))
+        blocks.append((chars, _packed(whole), _packed("\n".join(_shape(u[1], functional, known) for u, _ in held)), sum(map(_ends, held)), spam))
         held.clear()
 
     size = 0
@@ -187,32 +218,58 @@ def _blocks(judged: list[tuple]) -> list[tuple[int, int, int, int, int]]:
 _BLOCKS = pa.list_(pa.struct([("size_class", pa.int32()), ("chars", pa.int64()), ("raw", pa.float64()), ("shape", pa.float64()), ("sentences", pa.int64()), ("spam", pa.int64())]))
 
 
-def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _measure_batches(batches: Iterator[pa.RecordBatch], function_words: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, str] = {}
     for b in batches:
         out = []
         for text in b.column(2).to_pylist():
             found = []
-            for chars, raw, shape, ends, spam in measure(text):
+            for chars, raw, shape, ends, spam in measure(text, function_words, known):
                 found.append({"size_class": int(2 * math.log2(max(min(chars, BLOCK), 1))), "chars": chars, "raw": raw / max(chars, 1), "shape": shape / max(chars, 1), "sentences": ends, "spam": spam})
             out.append(found)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, _BLOCKS)], ["key", "lang", "blocks"])
 
 
+def learn_function_words(rows: DataFrame) -> DataFrame:
+    """(word) of ``rows`` (lang, text): of each language the words of most texts that make up COVER of all, in one pass and without moving texts.
+
+    A word of fewer than SPREAD of a language's texts is none, which leaves at
+    most a text's number of words by 1 / SPREAD to be ordered. Of equally common
+    words the shorter come first.
+    """
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}'’]+"))
+    each = rows.select("lang", F.explode(words).alias("word")).where(F.length("word") > 0)
+    by_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
+    kind = by_lang.select("lang", "texts", F.when(F.col("texts") >= LEAST_TEXTS, F.col("lang")).otherwise("\0few").alias("kind"))
+    sizes = kind.groupBy("kind").agg(F.sum("texts").alias("texts"))
+    counted = each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(kind.select("lang", "kind")), "lang").groupBy("kind", "word").agg(F.sum("df").alias("df"))
+    total = counted.groupBy("kind").agg(F.sum("df").alias("total"))
+    common = counted.join(F.broadcast(sizes), "kind").where(F.col("df") >= F.greatest(F.lit(2), SPREAD * F.col("texts"))).join(F.broadcast(total), "kind")
+    before = Window.partitionBy("kind").orderBy(F.desc("df"), F.length("word"), "word").rowsBetween(Window.unboundedPreceding, -1)
+    return common.withColumn("sum", F.coalesce(F.sum("df").over(before), F.lit(0))).where(F.col("sum") < COVER * F.col("total")).select("word").distinct()
+
+
 def stuffed_pages(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """(key, share): the rows whose text is made of keywords, links or tags, and to what share."""
     rows = docs.select(F.col(key).alias("key"), F.lower(F.btrim(F.coalesce(F.col(lang), F.lit("")))).alias("lang"), F.col(text).alias("text")).where(F.length(F.btrim("text")) > 0)
     kind = rows.schema["key"].dataType.simpleString()
-    # Texts are read once, whole; what is written are numbers. Keys may repeat, so rows are numbered.
-    measured = rows.mapInArrow(_measure_batches, f"key {kind}, lang string, blocks array<struct<size_class:int,chars:bigint,raw:double,shape:double,sentences:bigint,spam:bigint>>")
+    # A few dozen words of each language.
+    function_words = frozenset(r[0] for r in learn_function_words(rows.select("lang", "text")).collect())
+    # Texts are measured whole; what is written are numbers. Keys may repeat, so rows are numbered.
+    measured = rows.mapInArrow(lambda it: _measure_batches(it, function_words), f"key {kind}, lang string, blocks array<struct<size_class:int,chars:bigint,raw:double,shape:double,sentences:bigint,spam:bigint>>")
     numbered = materialize(measured.withColumn("row", F.monotonically_increasing_id()), "spam-blocks")
     blocks = numbered.select("row", "lang", F.inline("blocks"))
-    # The usual ratios: one row per language and length class.
-    usual = blocks.groupBy("lang", "size_class").agg(F.percentile_approx("raw", 0.5, 1000).alias("usual_raw"), F.percentile_approx("shape", 0.5, 1000).alias("usual_shape"))
-    judged = blocks.join(usual, ["lang", "size_class"])
-    # A class of few blocks, or mostly of spam, has no say: the classes of all languages together are the floor.
-    overall = blocks.groupBy("size_class").agg(F.percentile_approx("raw", 0.5, 1000).alias("all_raw"), F.percentile_approx("shape", 0.5, 1000).alias("all_shape"), F.count(F.lit(1)).alias("n"))
-    judged = judged.join(overall, "size_class").withColumn("usual_raw", F.greatest("usual_raw", "all_raw")).withColumn("usual_shape", F.greatest("usual_shape", "all_shape"))
-    redundant = (F.col("raw") <= RAW_CUT * F.col("usual_raw")) | (F.col("shape") <= SHAPE_CUT * F.col("usual_shape")) | (F.col("n") < LEAST_BLOCKS)
+    # The usual ratios: one row per language and length class, of which there are 22.
+    medians = [F.percentile_approx(c, 0.5, 1000) for c in ("raw", "shape")]
+    usual = blocks.groupBy("lang", "size_class").agg(*[m.alias(a) for m, a in zip(medians, ("usual_raw", "usual_shape"))])
+    judged = blocks.join(F.broadcast(usual), ["lang", "size_class"])
+    # A class of few blocks, or mostly of spam, has no say: those of all languages, of it and its neighbours in length, are the floor.
+    wide = blocks.withColumn("size_class", F.explode(F.array(F.col("size_class") - 1, F.col("size_class"), F.col("size_class") + 1)))
+    overall = wide.groupBy("size_class").agg(*[m.alias(a) for m, a in zip(medians, ("all_raw", "all_shape"))])
+    longer = F.col("size_class") - 14
+    judged = judged.join(F.broadcast(overall), "size_class")
+    judged = judged.withColumn("usual_raw", F.greatest("usual_raw", "all_raw", PROSE_RAW[0] - PROSE_RAW[1] * longer)).withColumn("usual_shape", F.greatest("usual_shape", "all_shape", PROSE_SHAPE[0] - PROSE_SHAPE[1] * longer))
+    redundant = (F.col("raw") <= RAW_CUT * F.col("usual_raw")) | (F.col("shape") <= SHAPE_CUT * F.col("usual_shape"))
     # Density of sentences over all blocks of a text that hold spam.
     beside = [F.sum(F.when(F.col("spam") > 0, F.col(c)).otherwise(0)).alias(f"run_{c}") for c in ("sentences", "chars")]
     per_text = judged.groupBy("row").agg(F.sum("chars").alias("chars"), F.sum(F.when(redundant, F.col("spam")).otherwise(0)).alias("spam"), *beside)
