@@ -80,11 +80,54 @@ def test_partial_states_are_handed_on(spark, monkeypatch):
 
     monkeypatch.setattr(cdc_apply, "PARTIAL_ROWS", 10)
     schema = cdc_apply._ARROW
-    batches = [pa.RecordBatch.from_pylist([{"source": "s", "entity": "e", "row_key": str(i), "ts": 1, "seq": b, "dead": False, "payload": ""} for i in range(60_000)], schema) for b in range(2)]
+    batches = [pa.RecordBatch.from_pylist([{"source": "s", "entity": "e", "row_key": str(i), "ts": 1, "seq": b, "dead": False, "payload": "", "slot": i} for i in range(60_000)], schema) for b in range(2)]
     out = pa.Table.from_batches(list(cdc_apply._partial(iter(batches))))
     assert out.num_rows == 120_000
 
 
+def test_a_bucket_of_large_records_spills(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def batches():
+        for at in range(0, 60_000, 4_000):
+            rows = [{"source": "s", "entity": "e", "row_key": f"k{i}", "ts": 1, "seq": 1, "dead": False, "payload": f"{i:06d}" * 700, "slot": i} for i in range(at, at + 4_000)]
+            yield pa.RecordBatch.from_pylist(rows, cdc_apply._ARROW).append_column("bucket", pa.array([0] * len(rows), pa.int32()))
+
+    (out,) = cdc_apply._bucket(batches(), {}, 0, 1, f"file://{tmp_path}")
+    assert pq.ParquetFile(out.column("file")[0].as_py().removeprefix("file://")).metadata.num_rows == 60_000
+    assert out.column("bytes")[0].as_py() > 250_000_000
+
+
+def test_buckets_split_as_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(cdc_apply, "BUCKET_BYTES", 2_000)
+    monkeypatch.setattr(cdc_apply, "GROUP", 2)
+    table = cdc_apply.UpsertTable(spark, scratch(spark, "t"), 2)
+    expected, seen = {}, []
+    for n in range(4):
+        rows = [row(100 * n + i, "u", n, 100 * n + i, f"k{(37 * n + i) % 90}") for i in range(60)]
+        expected |= {("d1", "orders", r[6].split('"')[3]): r[5] for r in rows}
+        table.apply(cdc_apply.normalize_changes(feed(spark, rows), True))
+        seen.append(table.current["buckets"])
+        assert alive(table) == expected
+    assert seen[0] < seen[-1] and len(table.current["groups"]) == -(-seen[-1] // 2)
+
+
+def test_of_two_writers_one_is_refused(spark):
+    import pytest
+
+    from tidemark.sources.files import ConflictError
+
+    path = scratch(spark, "t")
+    one, two = (cdc_apply.UpsertTable(spark, path, 2) for _ in range(2))
+    one.apply(cdc_apply.normalize_changes(feed(spark, [row(1, "c", 1, 1, "a")]), False))
+    with pytest.raises(ConflictError):
+        two.apply(cdc_apply.normalize_changes(feed(spark, [row(2, "c", 1, 2, "b")]), False))
+    again = cdc_apply.UpsertTable(spark, path)
+    again.apply(cdc_apply.normalize_changes(feed(spark, [row(2, "c", 1, 2, "b")]), False))
+    assert alive(again) == {("d1", "orders", "a"): 1, ("d1", "orders", "b"): 2}
+
+
 def dedup(spark, deliveries, prefixes=4):
     index = dedup_index.IdIndex(spark, scratch(spark, "i"), prefixes)
     out = []
@@ -111,6 +154,19 @@ def test_first_of_each_identifier_stays(spark):
         assert all(len(r) <= dedup_index.MAX_RUNS + 1 for r in index.current["runs"].values())
 
 
+def test_prefixes_split_and_runs_merge(spark, monkeypatch):
+    monkeypatch.setattr(dedup_index, "PREFIX_IDS", 8)
+    rnd = random.Random(4)
+    rows = [(i, f"a{rnd.randrange(150)}", 1) for i in range(420)]
+    seen, expected = set(), {}
+    for i, a, b in rows:
+        expected[i] = a in seen
+        seen.add(a)
+    index, out = dedup(spark, [rows[at : at + 60] for at in range(0, 420, 60)], 2)
+    assert {k: v for o in out for k, v in o.items()} == expected
+    assert index.current["prefixes"] > 8 and index.current["ids"] == len(seen)
+
+
 def test_empty_batch_and_equal_hash_prefix(spark):
     index, out = dedup(spark, [[], [(1, "a", 1)], [], [(2, "a", 1), (3, "b", 1)]])
     assert out == [{}, {1: False}, {}, {2: True, 3: False}]

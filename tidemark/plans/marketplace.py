@@ -101,15 +101,16 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _applied(spark: SparkSession, d: str, payload: bool) -> cdc_apply.UpsertTable:
-    total = table(spark, d, "cdc_changes").count()
+    size = F.coalesce(F.sum(F.octet_length("record")), F.lit(0)) if payload else F.lit(0)
+    total, size = table(spark, d, "cdc_changes").agg(F.count(F.lit(1)), size).first()
     target = cdc_apply.UpsertTable(spark, scratch(spark, "upsert"))
-    target.apply(cdc_apply.normalize_changes(_changes(spark, d), payload), total)
+    target.apply(cdc_apply.normalize_changes(_changes(spark, d), payload), total, size)
     return target
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The keys alive after all changes, with the position of the change that set them."""
-    rows = _applied(spark, d, payload=False).rows()
+    rows = _applied(spark, d, payload=False).rows(columns=["source", "entity", "row_key", "seq"])
     return rows.select(F.col("source").alias("source_db"), "entity", "row_key", F.col("seq").alias("lsn"))
 
 
@@ -119,11 +120,12 @@ def p4_state(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("source").alias("source_db"), "entity", "row_key", F.col("seq").alias("lsn"), F.col("payload").alias("record"))
 
 
-DELIVERIES = 4
+#: More than the runs a prefix may have, so that they are merged.
+DELIVERIES = dedup_index.MAX_RUNS + 2
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """The rows that repeat a change already received, four deliveries in turn."""
+    """The rows that repeat a change already received, deliveries taken in turn."""
     landed = _changes(spark, d)
     ids = [F.col("source_db"), F.col("entity"), F.col("lsn"), F.col("row_key")]
     low, high = table(spark, d, "cdc_changes").agg(F.min("arrival_id"), F.max("arrival_id")).first()
