@@ -7,9 +7,15 @@ earliest goes on, so an identifier with a third of all rows is no hot group),
 then its candidates meet the index of their prefix: each is looked up in the
 sorted runs by binary search, those not found are deduplicated among
 themselves, and the novel identifiers become a new immutable run. When a
-prefix has more than ``MAX_RUNS`` runs they are merged into one. The runs of a
-version are published by one renamed manifest, so a batch is in the index
-wholly or not at all, and a repeated task changes nothing.
+prefix has ``MAX_RUNS`` runs the next one is merged with them into one. The runs of a
+version are published in one step, so a batch is in the index
+wholly or not at all, a repeated task changes nothing, and of two writers at
+once one is refused.
+
+Prefixes split as the index grows: when they hold more than ``PREFIX_IDS``
+identifiers on average their number doubles. Both halves of a prefix share its
+immutable runs (a binary search does not mind what else is in them), and each
+keeps its own part when it merges.
 
 Identifiers are 128-bit hashes of the identifying columns (two independent
 64-bit hashes): at 10^12 messages the chance that any two differ but collide
@@ -34,11 +40,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
-from tidemark.sources.files import open_fs, publish_json, read_json
+from tidemark.sources.files import open_fs, publish_version, read_version
 
 MAX_RUNS = 4
-_OUT = "row_id long, repeated boolean, prefix int, file string, keeps string"
-_ARROW = pa.schema([("row_id", pa.int64()), ("repeated", pa.bool_()), ("prefix", pa.int32()), ("file", pa.string()), ("keeps", pa.string())])
+#: Identifiers of a prefix (16 bytes each) beyond which prefixes split.
+PREFIX_IDS = 4_000_000
+_OUT = "row_id long, repeated boolean, prefix int, file string, keeps string, ids long"
+_ARROW = pa.schema([("row_id", pa.int64()), ("repeated", pa.bool_()), ("prefix", pa.int32()), ("file", pa.string()), ("keeps", pa.string()), ("ids", pa.int64())])
 
 
 def _first_of_each(hi: np.ndarray, lo: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,10 +101,10 @@ def _save(folder: str, prefix: int, hi: np.ndarray, lo: np.ndarray) -> str:
 
 def _rows(row_ids: np.ndarray, repeated: bool) -> pa.RecordBatch:
     n = len(row_ids)
-    return pa.RecordBatch.from_arrays([pa.array(row_ids, pa.int64()), pa.array(np.full(n, repeated)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], schema=_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(row_ids, pa.int64()), pa.array(np.full(n, repeated)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=_ARROW)
 
 
-def _against_index(batches: Iterator[pa.RecordBatch], index: dict[int, list[str]], folder: str) -> Iterator[pa.RecordBatch]:
+def _against_index(batches: Iterator[pa.RecordBatch], index: dict[int, list[str]], prefixes: int, folder: str) -> Iterator[pa.RecordBatch]:
     """Flag the rows of one prefix, write its novel identifiers, and name its runs."""
     held, prefix = [], None
     for b in batches:
@@ -122,11 +130,14 @@ def _against_index(batches: Iterator[pa.RecordBatch], index: dict[int, list[str]
     if len(files) >= MAX_RUNS:
         runs.append((hi[new], lo[new]))
         all_hi, all_lo = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
+        # Runs from before a split also hold the other half's identifiers.
+        own = all_hi.view(np.uint64) % prefixes == prefix
+        all_hi, all_lo = all_hi[own], all_lo[own]
         by = np.lexsort((all_lo, all_hi))
         kept, saved = [], _save(folder, prefix, all_hi[by], all_lo[by])
     else:
         kept, saved = files, _save(folder, prefix, hi[new], lo[new])
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.bool_()), pa.array([prefix], pa.int32()), pa.array([saved]), pa.array(["\n".join(kept)])], schema=_ARROW)
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.bool_()), pa.array([prefix], pa.int32()), pa.array([saved]), pa.array(["\n".join(kept)]), pa.array([int(new.sum())])], schema=_ARROW)
 
 
 class IdIndex:
@@ -135,7 +146,7 @@ class IdIndex:
     def __init__(self, spark: SparkSession, path: str, prefixes: int | None = None) -> None:
         self.spark, self.path = spark, path
         least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.current = read_json(f"{path}/CURRENT") or {"version": 0, "prefixes": prefixes or least, "runs": {}}
+        self.current = read_version(path) or {"version": 0, "prefixes": prefixes or least, "ids": 0, "runs": {}}
 
     def process(self, batch: DataFrame, ids: list[Column], order: Column) -> DataFrame:
         """(row_id, repeated) of each row of the batch; ``order`` is a unique whole number.
@@ -144,17 +155,22 @@ class IdIndex:
         """
         flags = [c for i in ids for c in (i.isNull(), i)]
         rows = batch.select(F.xxhash64(*flags).alias("hi"), F.xxhash64(F.lit("second"), *flags).alias("lo"), order.cast("long").alias("row_id"))
-        prefixes, version = self.current["prefixes"], self.current["version"] + 1
+        prefixes, version, total = self.current["prefixes"], self.current["version"] + 1, self.current["ids"]
         index = {int(k): v for k, v in self.current["runs"].items()}
-        folder = f"{self.path}/v{version}"
+        while total > PREFIX_IDS * prefixes:
+            index.update({k + prefixes: v for k, v in index.items()})
+            prefixes *= 2
+        folder = f"{self.path}/v{version}-{uuid.uuid4().hex[:8]}"
         reduced = rows.mapInArrow(lambda it: _local(it, prefixes), "hi long, lo long, row_id long, repeated boolean, prefix int")
         placed = reduced.repartitionById(prefixes, F.col("prefix"))
-        done = materialize(placed.mapInArrow(lambda it: _against_index(it, index, folder), _OUT), "flags")
+        done = materialize(placed.mapInArrow(lambda it: _against_index(it, index, prefixes, folder), _OUT), "flags")
         # One row per prefix: the manifest.
-        for prefix, file, keeps in done.where(F.col("file").isNotNull()).select("prefix", "file", "keeps").collect():
+        for prefix, file, keeps, ids in done.where(F.col("file").isNotNull()).select("prefix", "file", "keeps", "ids").collect():
             index[prefix] = [*filter(None, keeps.split("\n")), file]
-        self.current = {"version": version, "prefixes": prefixes, "runs": {str(k): v for k, v in index.items()}}
-        publish_json(self.spark, f"{self.path}/CURRENT", self.current)
+            total += ids
+        state = {"version": version, "prefixes": prefixes, "ids": total, "runs": {str(k): v for k, v in index.items()}}
+        publish_version(self.spark, self.path, state)
+        self.current = state
         return done.where(F.col("row_id").isNotNull()).select("row_id", "repeated")
 
 
