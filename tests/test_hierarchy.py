@@ -46,6 +46,17 @@ def test_against_walking(spark, name):
     assert run(spark, CASES[name])[2] == brute(CASES[name])
 
 
+@pytest.mark.parametrize("name", ["loops", "star", "random"])
+def test_many_tasks_give_what_one_gives(spark, monkeypatch, name):
+    rnd = random.Random(7)
+    edges = CASES.get(name) or [(f"n{i:02}", rnd.choice([None, *(f"n{rnd.randrange(50):02}" for _ in range(5))])) for i in range(50)]
+    one = sorted(map(tuple, run(spark, edges)[1].collect()))
+    monkeypatch.setattr(hierarchy, "ONE_TASK", 0)
+    levels, got = run(spark, edges)[1:]
+    assert got == brute(edges)
+    assert sorted(map(tuple, levels.select("id", "parent", "root", "depth", "n_descendants", "size", "pos").collect())) == one
+
+
 def test_random_graphs(spark):
     rnd = random.Random(3)
     edges = [(f"n{i}", rnd.choice([None, *(f"n{rnd.randrange(60)}" for _ in range(5))])) for i in range(60)]

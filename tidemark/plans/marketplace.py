@@ -51,10 +51,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
     """The path of ids from the root to each category, joined by '/'."""
     nodes = _category_nodes(spark, d).select("id", "parent")
-    levels = hierarchy.hierarchy(nodes, ranges=False)
+    levels = hierarchy.hierarchy(nodes)
     return hierarchy.paths(nodes, levels).select(F.col("id").alias("category_id"), F.concat_ws("/", "path").alias("path"))
 
 
+def p3_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The nested-set range of each category: what lies in it is the category and all below it."""
+    levels = _category_levels(spark, d).where(F.col("pos").isNotNull())
+    return levels.select(F.col("id").alias("category_id"), "pos", "size")
+
+
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of a root category and a category below it, from nested-set ranges."""
     levels = _category_levels(spark, d)
@@ -157,4 +163,4 @@ def _unified(entity: str):
     return query
 
 
-QUERIES = {"p2_found": p2_found, "p2_features": p2_features, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_all_descendants": p3_all_descendants, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p4_found": p4_found, "p4_state": p4_state, "p5_found": p5_found, "p1_found": p1_found, **{f"p1_{e}_table": _unified(e) for e in ("orders", "products", "payments", "shipments", "inventories", "reviews")}}
+QUERIES = {"p2_found": p2_found, "p2_features": p2_features, "p3_found": p3_found, "p3_paths": p3_paths, "p3_ranges": p3_ranges, "p3_descendants": p3_descendants, "p3_all_descendants": p3_all_descendants, "p6_found": p6_found, "p6_counts": p6_counts, "p7_found": p7_found, "p4_found": p4_found, "p4_state": p4_state, "p5_found": p5_found, "p1_found": p1_found, **{f"p1_{e}_table": _unified(e) for e in ("orders", "products", "payments", "shipments", "inventories", "reviews")}}

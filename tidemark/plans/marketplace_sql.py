@@ -84,6 +84,7 @@ ORACLES = {
 FROM edges e LEFT JOIN down d ON e.id = d.id
 LEFT JOIN (SELECT top, count(*) AS n FROM reach WHERE top <> id GROUP BY top) r ON r.top = e.id""",
     "p3_paths": _TREE + "SELECT e.id AS category_id, coalesce(d.path, '') AS path FROM edges e LEFT JOIN down d ON e.id = d.id",
+    "p3_ranges": _TREE + "SELECT d.id AS category_id, row_number() OVER (ORDER BY d.path) - 1 AS pos, 1 + coalesce(r.n, 0) AS size FROM down d LEFT JOIN (SELECT top, count(DISTINCT id) AS n FROM reach WHERE top <> id GROUP BY top) r ON d.id = r.top",
     "p3_descendants": _TREE + "SELECT root AS root_category_id, id AS category_id FROM down WHERE depth > 0",
     "p3_all_descendants": _TREE + "SELECT DISTINCT top AS category_id, id AS descendant_id FROM reach WHERE top <> id",
     "p6_found": _BROKEN + "SELECT * FROM broken WHERE problem IS NOT NULL",
