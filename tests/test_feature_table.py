@@ -46,3 +46,17 @@ def test_latest_per_key_breaks_ties_the_same_way(spark):
     df = spark.createDataFrame([("k", 1, "b"), ("k", 1, "a"), ("k", None, "z")], "k string, o int, v string")
     for d in (df, df.orderBy("v"), df.orderBy(F.desc("v"))):
         assert [tuple(r) for r in feature_table.latest_per_key(d, {"k": F.col("k")}, [F.col("o")], {"v": F.col("v")}).collect()] == [("k", "b")]
+
+
+def test_three_hundred_types_are_all_laid_out(spark):
+    rows = [(f"e{i % 7}", f"T{i % 300:03}", i, i % 11) for i in range(2100)]
+    df = spark.createDataFrame([*rows, ("e0", None, 9999, 5)], "entity string, kind string, id int, amount int")
+    stats = feature_table.entity_type_stats(df, F.col("entity"), F.col("kind"), F.col("id"), F.col("amount"), F.timestamp_seconds("id"))
+    wide = feature_table.expand_types(stats)
+    assert len(wide.columns) == 4 + 3 * 300
+    got = {r.entity: r for r in wide.collect()}
+    for e in got:
+        own = [r for r in rows if r[0] == e]
+        assert got[e].events == len(own) + (e == "e0") and got[e].other_n == (e == "e0")
+        for k in ("T000", "T123", "T299"):
+            assert (got[e][f"{k.lower()}_n"], got[e][f"{k.lower()}_total"]) == (len(x := [r for r in own if r[1] == k]), sum(r[3] for r in x))

@@ -138,6 +138,42 @@ def test_script_costs():
     assert ops == [("rename", "o", "q")] and cost == pytest.approx(0.55)
 
 
+def test_moves_keep_the_edits_within():
+    paths = lambda *p: frozenset(x.replace(".", "\x1f") for x in p)
+    old, new = paths("a", "a.o", "a.o.x", "a.o.y", "b"), paths("a", "b", "b.o", "b.o.x", "b.o.z")
+    cost, ops = sd.edit_script(old, new, {})
+    assert cost == 3.5
+    assert {(o, p.replace("\x1f", "."), q.replace("\x1f", ".")) for o, p, q in ops} == {("move", "a.o", "b.o"), ("delete", "a.o.y", ""), ("add", "b.o.z", "")}
+    assert sd.apply_script(old, ops, new) == new
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_scripts_turn_the_old_tree_into_the_new_one(seed):
+    rnd = random.Random(seed)
+
+    def tree():
+        out = set()
+        for _ in range(rnd.randrange(1, 12)):
+            parts = [rnd.choice("abcd") for _ in range(rnd.randrange(1, 4))]
+            out |= {"\x1f".join(parts[: i + 1]) for i in range(len(parts))}
+        return frozenset(out)
+
+    for _ in range(200):
+        old, new = tree(), tree()
+        carried = {(x, y): 1.0 for x in old - new for y in new - old if x.count("\x1f") == y.count("\x1f") and rnd.random() < 0.3}
+        cost, ops = sd.edit_script(old, new, carried)
+        assert sd.apply_script(old, ops, new) == new, (old, new, ops)
+        assert cost <= len(old - new) + len(new - old)
+
+
+def test_a_returning_name_and_what_cannot_be_read(spark):
+    declared = spark.createDataFrame([("e", "price", 1, "decimal(19,4)"), ("e", "n", 2, "int")], "entity string, field_name string, field_no int, target_type string")
+    rows = [("s", "e", 1, "k", '{"price": "1,234.56", "n": 3}'), ("s", "e", 2, "k", '{"cost": "1,234.56", "n": 3.7}'), ("s", "e", 3, "k", '{"cost": "1.234,5", "price": 8, "n": "4.0"}')]
+    df = spark.createDataFrame(rows, "source string, entity string, seq long, row_key string, record string")
+    got = [(r["_seq"], str(r["price"]), r["n"], r["_unread"], r["price__3"]) for r in sd.unify(df, declared, "e").orderBy("_seq").collect()]
+    assert got == [(1, "1234.5600", 3, 0, None), (2, "1234.5600", None, 1, None), (3, "1234.5000", 4, 0, "8")]
+
+
 def test_unified_table(spark):
     declared = spark.createDataFrame([("e", "id", 1, "string"), ("e", "price", 2, "decimal(19,4)"), ("e", "at", 3, "timestamp"), ("e", "n", 4, "int")], "entity string, field_name string, field_no int, target_type string")
     rows = [("s", "e", 1, "k", '{"id": "k", "price": 1.5, "at": "2026-01-01T00:00:00Z", "n": 3}'), ("s", "e", 2, "k", '{"id": "k", "cost": 1.5, "at": 1767225600000, "n": "4"}'), ("s", "e", 3, "k", '{"id": "k", "cost": "2,25", "at": null, "n": "x", "colour": "red"}'), ("t", "e", 1, "k", '{"id": "k", "price": 9, "cost": 7}')]

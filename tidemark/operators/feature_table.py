@@ -25,8 +25,8 @@ from tidemark.functions.keys import micros
 def latest_per_key(df: DataFrame, keys: dict[str, Column], order: Sequence[Column], payload: dict[str, Column]) -> DataFrame:
     """One row per key: ``payload`` of the row greatest in ``order``.
 
-    A hash aggregation with map-side combine, so a hot key is reduced before
-    the shuffle. Nulls in ``order`` are smallest; full ties take the greatest
+    An aggregation with map-side combine (sort-based, as the payload has
+    texts), so a hot key is reduced before the shuffle. Nulls in ``order`` are smallest; full ties take the greatest
     payload, so the result does not depend on the order of rows.
     """
     row = F.struct(*[v.alias(k) for k, v in payload.items()])
@@ -45,20 +45,26 @@ def entity_type_stats(df: DataFrame, entity: Column, kind: Column, event_id: Col
     return sliced.groupBy("entity", "kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("last_us").alias("last_us"))
 
 
-def expand_types(stats: DataFrame, kinds: Sequence[str]) -> DataFrame:
-    """One row per entity, for each of ``kinds`` its n, total and last_us.
+def found_types(stats: DataFrame) -> list[str]:
+    """The complete type list, from the merged statistics: one name per type reaches the driver, as the columns of the table."""
+    return sorted(r[0] for r in stats.select("kind").where(F.col("kind").isNotNull()).distinct().collect())
 
-    A type without events gives 0, 0 and null. The columns are named
+
+def expand_types(stats: DataFrame, kinds: Sequence[str] | None = None) -> DataFrame:
+    """One row per entity, for each of ``kinds`` (all found, if None) its n, total and last_us.
+
+    A type without events gives 0, 0 and null. ``other_n`` counts events of no
+    listed type, those of a null type included. The columns are named
     ``<kind>_n``, ``<kind>_total`` and ``<kind>_last_us`` in lower case.
     One map of at most ``len(kinds)`` entries per entity; hundreds of types
     cost one aggregation, not one join each.
     """
-    wanted = stats.where(F.col("kind").isin(list(kinds)))
-    cells = wanted.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct("n", "total", "last_us")))).alias("m"))
-    everyone = stats.groupBy("entity").agg(F.sum("n").alias("events"), F.max("last_us").alias("last_us"))
-    rows = everyone.join(cells, "entity", "left")
+    kinds = found_types(stats) if kinds is None else kinds
+    listed = F.coalesce(F.col("kind").isin(list(kinds)), F.lit(False))
+    cell = F.when(listed, F.struct("kind", F.struct("n", "total", "last_us")))
+    rows = stats.groupBy("entity").agg(F.sum("n").alias("events"), F.max("last_us").alias("last_us"), F.coalesce(F.sum(F.when(~listed, F.col("n"))), F.lit(0)).alias("other_n"), F.map_from_entries(F.collect_list(cell)).alias("m"))
     columns = []
     for kind in kinds:
         cell, name = F.try_element_at(F.col("m"), F.lit(kind)), kind.lower()
         columns += [F.coalesce(cell["n"], F.lit(0)).alias(f"{name}_n"), F.coalesce(cell["total"], F.lit(0)).alias(f"{name}_total"), cell["last_us"].alias(f"{name}_last_us")]
-    return rows.select("entity", "events", F.col("last_us").alias("any_last_us"), *columns)
+    return rows.select("entity", "events", F.col("last_us").alias("any_last_us"), "other_n", *columns)

@@ -3,7 +3,7 @@
 Parent keys and child keys are unioned in long form, tagged, and grouped by
 (parent table, key). A group without the parent flag is an orphan key; its
 child counts are summed by table and period for the report. The grouping is a
-hash aggregation with map-side combine, so a key named by a third of all
+aggregation with map-side combine, so a key named by a third of all
 children is reduced before the shuffle.
 
 The row-level list keeps only the groups that can hold a problem (no parent, a
@@ -96,5 +96,23 @@ def broken_references(children: list[Child], parents: list[Parent]) -> DataFrame
 
 
 def broken_reference_counts(children: list[Child], parents: list[Parent]) -> DataFrame:
-    """(table_name, field_name, problem, created_month, n)."""
-    return broken_references(children, parents).groupBy("table_name", "field_name", "problem", "created_month").agg(F.count(F.lit(1)).alias("n"))
+    """(table_name, field_name, problem, created_month, n).
+
+    Missing parents are counted from the groups: children are summed by period
+    before the shuffle, and of the groups without the parent flag the sums are
+    added up, no row being joined. What depends on the child's own time
+    (deleted, late) is counted from the rows of the groups it can be in.
+    """
+    refs = child_references(children)
+    month = F.date_format("created", "yyyy-MM").alias("created_month")
+    by_period = refs.groupBy("parent", "key", "table_name", "field_name", month).agg(F.count(F.lit(1)).alias("n"))
+    cell = F.struct("table_name", "field_name", "created_month", "n")
+    tagged = [by_period.select("parent", "key", F.lit(False).alias("is_parent"), cell.alias("cell"))]
+    for p in parents:
+        own = p.df.select(F.lit(p.name).alias("parent"), ref_key(p.key).alias("key")).where(F.col("key").isNotNull())
+        tagged.append(own.select("parent", "key", F.lit(True).alias("is_parent"), F.lit(None).cast(by_period.select(cell.alias("c")).schema["c"].dataType).alias("cell")))
+    # A group has a cell for each table, field and month.
+    groups = reduce(DataFrame.unionByName, tagged).groupBy("parent", "key").agg(F.max("is_parent").alias("is_parent"), F.collect_list("cell").alias("cells"))
+    missing = groups.where(~F.col("is_parent")).select(F.inline("cells")).groupBy("table_name", "field_name", F.lit("missing").alias("problem"), "created_month").agg(F.sum("n").alias("n"))
+    timed = broken_references(children, parents).where(F.col("problem") != "missing").groupBy("table_name", "field_name", "problem", "created_month").agg(F.count(F.lit(1)).alias("n"))
+    return missing.unionByName(timed)

@@ -339,22 +339,62 @@ def edit_script(old: frozenset, new: frozenset, carried: dict[tuple[str, str], f
                 ops.append(("add", pb + y, ""))
         return total, ops
 
-    total, ops = match(_tree(old), _tree(new), "", "")
-    # A field that goes in one object and comes under the same name in another has moved.
-    gone = {}
-    for op in ops:
-        if op[0] == "delete":
-            gone.setdefault(op[1].split("\x1f")[-1], []).append(op)
-    for op in [o for o in ops if o[0] == "add"]:
-        name = op[1].split("\x1f")[-1]
-        if gone.get(name):
-            was = gone[name].pop(0)
-            ops[ops.index(was)] = ("move", was[1], op[1])
-            ops.remove(op)
-            total += MOVE - ADD - DELETE
+    def at(tree: dict, path: str) -> dict:
+        for part in path.split("\x1f"):
+            tree = tree[part]
+        return tree
+
+    a, b = _tree(old), _tree(new)
+    total, ops = match(a, b, "", "")
+    # A subtree that goes in one object and comes under its name in another has moved, if that and the edits within cost less.
+    gone, come = [o[1] for o in ops if o[0] == "delete"], [o[1] for o in ops if o[0] == "add"]
+    if gone and come and any("\x1f" in p for p in (*gone, *come)):
+        last = lambda p: p.rpartition("\x1f")[2]
+        inner, cost = {}, []
+        for x in gone:
+            line = []
+            for y in come:
+                saved = _NEVER
+                if last(x) == last(y):
+                    inner[x, y] = match(at(a, x), at(b, y), f"{x}\x1f", f"{y}\x1f")
+                    saved = MOVE + inner[x, y][0] - DELETE * (1 + _weight(at(a, x))) - ADD * (1 + _weight(at(b, y)))
+                line.append(saved)
+            cost.append(line + [0.0] * len(gone))
+        for x, j in zip(gone, _assign(cost)):
+            if j < len(come) and cost[gone.index(x)][j] < 0:
+                y = come[j]
+                total += cost[gone.index(x)][j]
+                ops.remove(("delete", x, ""))
+                ops.remove(("add", y, ""))
+                ops += [("move", x, y), *inner[x, y][1]]
     return total, ops
 
 
+def apply_script(old: frozenset, ops: list[tuple[str, str, str]], new: frozenset) -> frozenset:
+    """The paths that a script makes of ``old``; what it adds is taken from ``new``.
+
+    Paths that go are named as in the old tree, those that come as in the new
+    one; what is renamed or moved takes what is below it along.
+    """
+    places = {p: to for op, p, to in ops if op in ("rename", "move")}
+    deleted = {p for op, p, _ in ops if op == "delete"}
+
+    def place(path: str) -> str | None:
+        if path in deleted:
+            return None
+        if path in places:
+            return places[path]
+        above, _, name = path.rpartition("\x1f")
+        if not above:
+            return path
+        there = place(above)
+        return None if there is None else f"{there}\x1f{name}"
+
+    out = {q for p in old if (q := place(p)) is not None}
+    added = [p for op, p, _ in ops if op == "add"]
+    return frozenset(out | {p for p in new for a in added if p == a or p.startswith(a + "\x1f")})
+
+
 # --- Events ---------------------------------------------------------------------
 
 _EVENTS = "source string, entity string, change_kind string, field_name string, new_name string, seq long"
@@ -422,7 +462,11 @@ def _aliases(events, log):
                 canonical, start = live.pop(name)
                 out.append((source, entity, name, canonical, start, seq))
             for name in sorted(tops - live.keys()):
-                live[name] = (carried.get(name, name), seq)
+                canonical = carried.get(name, name)
+                # A name that comes back while its first field lives on under another one is another field.
+                if name not in carried and any(c == name for c, _ in live.values()):
+                    canonical = f"{name}__{seq}"
+                live[name] = (canonical, seq)
         out += [(source, entity, name, canonical, start, 2**63 - 1) for name, (canonical, start) in live.items()]
     return pd.DataFrame(out, columns=["source", "entity", "name", "canonical", "start", "stop"])
 
@@ -434,8 +478,11 @@ def unify(rows: DataFrame, declared: DataFrame, entity: str) -> DataFrame:
     compiled into aliases (source, actual name, range of positions) ->
     canonical name, applied to each record as one map lookup. Declared fields
     are read by their target type whatever the JSON type was (a decimal comma,
-    epoch milliseconds and quoted numbers included; what cannot be read is
-    null); later fields are text.
+    thousands marks, epoch milliseconds and quoted numbers included); what cannot be
+    read, a whole number with a fraction included, is null and counted in
+    ``_unread``. Later fields are text; a name that comes back as another field
+    is a column of its own, named with its first position. Fields within objects
+    stay in their object's text: their changes are reported, not applied.
     """
     own = rows.where(F.col("entity") == entity)
     log = schema_log(own)
@@ -459,15 +506,23 @@ def unify(rows: DataFrame, declared: DataFrame, entity: str) -> DataFrame:
         return F.coalesce(F.try_element_at("renamed", F.lit(name)), F.when(~hidden, F.try_element_at("raw", F.lit(name))))
 
     columns = [_typed(value(n), t).alias(n) for n, t in fields] + [value(n).alias(n) for n in later]
-    return values.select(F.col("source").alias("_source"), F.col("seq").alias("_seq"), *columns)
+    unread = [(value(n).isNotNull() & _typed(value(n), t).isNull()).cast("int") for n, t in fields]
+    return values.select(F.col("source").alias("_source"), F.col("seq").alias("_seq"), sum(unread, F.lit(0)).alias("_unread"), *columns)
 
 
 def _typed(text: F.Column, target: str) -> F.Column:
     if target == "timestamp":
         millis = F.when(text.rlike(r"^-?\d+(\.\d+)?([eE][+]?\d+)?$"), text.try_cast("double"))
         return F.coalesce(F.timestamp_millis(millis.cast("long")), text.try_cast("timestamp"))
+    # The last of commas and points is the decimal mark; one that repeats, or stands before the other, marks thousands.
+    plain = (
+        F.when(text.rlike(r",.*\.|,.*,"), F.replace(text, F.lit(","), F.lit("")))
+        .when(text.rlike(r"\..*,|\..*\."), F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+        .otherwise(F.replace(text, F.lit(","), F.lit(".")))
+    )
     if target.startswith("decimal"):
-        return F.replace(text, F.lit(","), F.lit(".")).try_cast(target)
+        return plain.try_cast(target)
     if target in ("int", "long", "bigint"):
-        return F.replace(text, F.lit(","), F.lit(".")).try_cast("double").try_cast(target)
+        exact = plain.try_cast("decimal(38,10)")
+        return F.when(exact == F.floor(exact), exact).try_cast(target)
     return text.try_cast(target)

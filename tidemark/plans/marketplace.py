@@ -30,8 +30,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_features(spark: SparkSession, d: str) -> DataFrame:
-    """One row per customer with the columns of every order status."""
-    return feature_table.expand_types(_order_stats(spark, d), ORDER_STATUSES).withColumnRenamed("entity", "customer_id")
+    """One row per customer with the columns of every order status, the known ones and what else is found."""
+    stats = materialize(_order_stats(spark, d), "order-stats")
+    kinds = sorted({*ORDER_STATUSES, *feature_table.found_types(stats)})
+    return feature_table.expand_types(stats, kinds).withColumnRenamed("entity", "customer_id")
 
 
 def _category_nodes(spark: SparkSession, d: str) -> DataFrame:

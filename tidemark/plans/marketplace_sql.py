@@ -77,6 +77,7 @@ ORACLES = {
     "p2_found": _ORDERS + "SELECT customer AS customer_id, status, n AS n_orders, total AS total_e4, last_us AS last_created_us FROM stats",
     "p2_features": _ORDERS
     + "SELECT customer AS customer_id, CAST(sum(n) AS BIGINT) AS events, max(last_us) AS any_last_us, "
+    + "CAST(coalesce(sum(n) FILTER (status IS NULL OR status NOT IN (" + ", ".join(f"'{s}'" for s in _STATUSES) + ")), 0) AS BIGINT) AS other_n, "
     + ", ".join(f"CAST(coalesce(sum(n) FILTER (status = '{s}'), 0) AS BIGINT) AS {s.lower()}_n, CAST(coalesce(sum(total) FILTER (status = '{s}'), 0) AS BIGINT) AS {s.lower()}_total, max(last_us) FILTER (status = '{s}') AS {s.lower()}_last_us" for s in _STATUSES)
     + " FROM stats GROUP BY customer",
     "p3_found": _TREE
