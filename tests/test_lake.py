@@ -48,6 +48,27 @@ def test_versioned_table(spark):
     assert t.vacuum(0) > 0 and t.read().count() == 2
 
 
+def test_appended_parts_merge_their_columns(spark):
+    t = lake.VersionedTable(spark, scratch(spark, "vt"))
+    t.write(spark.createDataFrame([(1, "a")], "id long, x string"))
+    t.write(spark.createDataFrame([(2, 5)], "id long, y int"), "append")
+    assert sorted(map(tuple, t.read().collect())) == [(1, "a", None), (2, None, 5)]
+    with pytest.raises(ValueError, match="'x'"):
+        t.write(spark.createDataFrame([(3, 4)], "id long, x int"), "append")
+    assert t.read().count() == 2
+
+
+def test_a_batch_that_was_compacted_is_not_taken_again(spark):
+    t = lake.VersionedTable(spark, scratch(spark, "vt"))
+    for n in range(2):
+        t.write(spark.range(10), "append", key=f"{n:04}")
+    assert t.compact()[1] == 1
+    t.write(spark.range(10), "append", key="0001")
+    t.write(spark.range(5), "append", key="0002")
+    t.write(spark.range(5), "append", key="0002")
+    assert t.read().count() == 25
+
+
 def test_compaction_is_idempotent(spark):
     t = lake.VersionedTable(spark, scratch(spark, "vt"))
     t.write(spark.range(100).repartition(9))

@@ -9,19 +9,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _deltas(samples: DataFrame, series: Sequence[str], ts: str, value: str) -> DataFrame:
-    """Each sample's growth over the one before; a counter that falls has started again at 0."""
-    before = F.lag(value).over(Window.partitionBy(*series).orderBy(ts))
-    return samples.withColumn("delta", F.when(before.isNull(), 0.0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before))
+#: Slices of time that a series' samples are taken in.
+SLICES = 64
+
+
+def _growth(now: Column, before: Column) -> Column:
+    """Growth over the sample before; a counter that falls has started again at 0, the first has none."""
+    return F.when(before.isNull(), 0.0).when(now < before, now).otherwise(now - before)
 
 
 def increase(samples: DataFrame, series: Sequence[str], ts: str, value: str, at: Column, seconds: int) -> DataFrame:
     """(series, increase) of counters over the ``seconds`` before ``at``, restarts considered.
 
-    Growth is between samples inside the window; nothing is extrapolated.
+    Growth is between samples inside the window; nothing is extrapolated. A
+    series is reduced by slices of time, each a task's own, and the slices are
+    joined at their borders: few series are no few tasks.
     """
     recent = samples.where((F.col(ts) > at - F.make_dt_interval(secs=F.lit(seconds))) & (F.col(ts) <= at))
-    return _deltas(recent, series, ts, value).groupBy(*series).agg(F.sum("delta").alias("increase"))
+    slice_ = F.floor((F.unix_micros(at) - F.unix_micros(F.col(ts).cast("timestamp"))) * SLICES / F.lit(seconds * 1_000_000)).cast("int")
+    sliced = recent.withColumn("__slice", slice_)
+    before = F.lag(value).over(Window.partitionBy(*series, "__slice").orderBy(ts))
+    own = sliced.withColumn("__growth", _growth(F.col(value), before)).groupBy(*series, "__slice").agg(F.sum("__growth").alias("__inner"), F.min_by(value, ts).alias("__first"), F.max_by(value, ts).alias("__last"))
+    border = _growth(F.col("__first"), F.lag("__last").over(Window.partitionBy(*series).orderBy(F.desc("__slice"))))
+    return own.withColumn("__border", border).groupBy(*series).agg(F.sum(F.col("__inner") + F.col("__border")).alias("increase"))
 
 
 def rate(samples: DataFrame, series: Sequence[str], ts: str, value: str, at: Column, seconds: int) -> DataFrame:
@@ -63,3 +73,17 @@ def histogram_quantile(buckets: DataFrame, series: Sequence[str], q: float) -> D
 def alerts(df: DataFrame, condition: Column, name: str) -> DataFrame:
     """Rows for which an alert's condition holds, with its name."""
     return df.where(condition).withColumn("alert", F.lit(name))
+
+
+def lasting(samples: DataFrame, series: Sequence[str], ts: str, condition: Column, at: Column, seconds: int) -> DataFrame:
+    """(series, since) of the series for which ``condition`` has held at every sample of the ``seconds`` before ``at``.
+
+    It has held since the first sample after the last one without it; a series
+    without samples in that time, or whose samples begin within it, is not listed.
+    """
+    known = samples.where(F.col(ts) <= at)
+    held = F.coalesce(condition, F.lit(False))
+    ends = known.groupBy(*series).agg(F.max(F.when(~held, F.col(ts))).alias("broken"), F.max(ts).alias("newest"))
+    since = known.join(ends, list(series)).where(F.col("broken").isNull() | (F.col(ts) > F.col("broken"))).groupBy(*series).agg(F.min(ts).alias("since"), F.max("newest").alias("newest"))
+    start = at - F.make_dt_interval(secs=F.lit(seconds))
+    return since.where((F.col("since") <= start) & (F.col("newest") > start)).select(*series, "since")

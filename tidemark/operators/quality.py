@@ -92,6 +92,39 @@ def run_suite(tests: Sequence[Test]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts).withColumn("passed", F.col("n_failures") == 0)
 
 
+_STATUSES = ("PENDING", "PAID", "PROCESSING", "SHIPPED", "DELIVERED", "CANCELLED")
+#: The tests declared for the facts, as (table, column, kind, argument).
+DECLARED: tuple[tuple, ...] = (
+    ("fact_orders", "order_id", "not_null", None),
+    ("fact_orders", "order_id", "unique", None),
+    ("fact_orders", "order_status", "accepted_values", _STATUSES),
+    ("fact_orders", "order_value_tier", "not_null", None),
+    ("fact_orders", "order_value_tier", "accepted_values", (1, 2, 3)),
+    ("fact_orders", "order_year", "not_null", None),
+    ("fact_orders", "order_month", "not_null", None),
+    ("transitions", "history_id", "not_null", None),
+    ("transitions", "history_id", "unique", None),
+    ("transitions", "order_id", "not_null", None),
+    ("transitions", "order_id", "relationships", ("orders", "order_id")),
+    ("transitions", "current_status", "accepted_values", _STATUSES),
+    ("transitions", "previous_status", "accepted_values", _STATUSES[:4]),
+    ("items", "order_item_id", "not_null", None),
+    ("items", "order_item_id", "unique", None),
+    ("items", "order_id", "relationships", ("orders", "order_id")),
+    ("items", "product_id", "relationships", ("products", "product_id")),
+)
+
+
+def declared(tables: Mapping[str, DataFrame], name: str, column: str, kind: str, argument) -> Test:
+    """A declared test on one of ``tables``."""
+    df, label = tables[name], f"{name}.{column} {kind}"
+    if kind == "relationships":
+        return Test(label, relationships(df.select(column), column, tables[argument[0]], argument[1]))
+    if kind == "accepted_values":
+        return Test(label, accepted_values(df, column, argument))
+    return Test(label, {"not_null": not_null, "unique": unique}[kind](df, column))
+
+
 class QualityError(RuntimeError):
     """A suite had failing rows."""
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 
 def insert_absent(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows to append: those whose key is neither in the target nor earlier in ``rows``."""
-    return rows.dropDuplicates(list(keys)).join(target.select(*keys), list(keys), "left_anti")
+    """The rows to append: of each key that the target lacks the least row, whatever their order."""
+    rest = [c for c in rows.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__row")).select(*keys, "__row.*") if rest else rows.distinct()
+    return one.select(*rows.columns).join(target.select(*keys), list(keys), "left_anti")
 
 
 def update_where(df: DataFrame, condition: Column, changes: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -21,10 +23,10 @@ def update_where(df: DataFrame, condition: Column, changes: dict[str, Column]) -
     return new.drop("__hit"), new.where("__hit").drop("__hit")
 
 
-def due_candidates(df: DataFrame, status: str, age: str, limit: int = 15, now: Column | None = None) -> DataFrame:
-    """The ``limit`` longest unchanged rows of a status, unchanged for at least ``age`` (``60 seconds``)."""
+def due_candidates(df: DataFrame, status: str, age: str, limit: int = 15, now: Column | None = None, tiebreak: str | None = None) -> DataFrame:
+    """The ``limit`` longest unchanged rows of a status, unchanged for at least ``age`` (``60 seconds``); ties by a key."""
     moment = F.current_timestamp() if now is None else now
-    return df.where((F.col("status") == status) & (F.col("updated_at") <= moment - F.expr(f"INTERVAL {age}"))).orderBy("updated_at").limit(limit)
+    return df.where((F.col("status") == status) & (F.col("updated_at") <= moment - F.expr(f"INTERVAL {age}"))).orderBy("updated_at", *([tiebreak] if tiebreak else [])).limit(limit)
 
 
 def priority_pick(df: DataFrame, first: Column, tiebreak: Column, n: int = 1) -> DataFrame:

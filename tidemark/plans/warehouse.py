@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import quality, standardize, tiers, upsert
-from tidemark.plans import entities, models
+from tidemark.plans import entities, gold, models
+from tidemark.session import scratch
 from tidemark.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +75,30 @@ QUERIES.update({n: _gold(n, entities.classic) for n in models.MODELS})
 QUERIES.update({f"market_{n}": _gold(n, entities.marketplace) for n in models.MODELS if n != "dim_customers"})
 
 
+def _written(spark, d, *names: str):
+    return gold.write_gold(spark, entities.marketplace(spark, d), scratch(spark, "gold"), names)
+
+
+@query
+def gold_fact_orders(spark, d):
+    """The facts as read from the table written by year and month."""
+    return _written(spark, d, "fact_orders")["fact_orders"]
+
+
+@query
+def gold_orders_of_a_month(spark, d):
+    """One partition of the written facts: the others are not read."""
+    facts = _written(spark, d, "fact_orders")["fact_orders"]
+    return facts.where((F.col("order_year") == 2026) & (F.col("order_month") == 1)).select("order_id", "order_status", "total_amount")
+
+
+@query
+def gold_dashboards(spark, d):
+    """Orders and revenue by status, on the view of the written facts."""
+    gold.show_views(_written(spark, d, "fact_orders"))
+    return spark.sql("SELECT order_status, count(*) AS total_orders, CAST(sum(total_amount) AS DECIMAL(38,4)) AS revenue FROM gold_fact_orders GROUP BY order_status")
+
+
 @query
 def order_value_tier(spark, d):
     """Three tiers of all orders by amount, without a global window."""
@@ -138,6 +163,53 @@ def dq_suite(spark, d):
     return quality.run_suite(tests)
 
 
+@query
+def dq_declared(spark, d):
+    """Every declared test of the facts: keys, references, accepted values."""
+    e = entities.marketplace(spark, d)
+    facts, steps = models.build("fact_orders", e), models.build("fact_order_status_transitions", e)
+    items = models.build("int_order_items_enriched", e)
+    known = {"fact_orders": facts, "transitions": steps, "items": items, "orders": e["orders"], "products": e["products"]}
+    return quality.run_suite([quality.declared(known, *t) for t in quality.DECLARED])
+
+
+def _lines_with_dates(spark, d):
+    lines, orders = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    return lines.join(orders, "l_orderkey")
+
+
+@query
+def dq_shipped_before_order(spark, d):
+    """Lines shipped before their order's date: rows that a date-order test lists."""
+    return quality.not_before(_lines_with_dates(spark, d), "l_shipdate", "o_orderdate").select("l_orderkey", "l_linenumber", "l_shipdate")
+
+
+@query
+def dq_negative_days(spark, d):
+    """Days from order to shipping that are negative: rows that a duration test lists."""
+    days = F.datediff("l_shipdate", "o_orderdate").cast("bigint")
+    return quality.non_negative_duration(_lines_with_dates(spark, d).select("l_orderkey", "l_linenumber", days.alias("days")), "days")
+
+
+@query
+def active_products(spark, d):
+    """Products that are active, of the last loaded rows."""
+    return entities.marketplace(spark, d)["products"].where("is_active").select("product_id", "status")
+
+
+@query
+def preview(spark, d):
+    """The first hundred orders by key: what a preview shows."""
+    return table(spark, d, "orders").orderBy("o_orderkey").limit(100).select("o_orderkey", "o_orderstatus")
+
+
+@query
+def set_operations(spark, d):
+    """Customers with orders and without, by set operations."""
+    everyone, ordered = table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
+    return everyone.intersect(ordered).withColumn("has_orders", F.lit(True)).unionByName(everyone.exceptAll(ordered.distinct()).withColumn("has_orders", F.lit(False)))
+
+
 @query
 def profile_nulls(spark, d):
     return quality.profile_nulls(table(spark, d, "marketplace_orders"))
@@ -178,7 +250,7 @@ def conditional_update(spark, d):
 def status_candidates(spark, d):
     """The fifteen paid orders longest unchanged at a moment."""
     orders = entities.marketplace(spark, d)["orders"]
-    due = upsert.due_candidates(orders, "PAID", "60 seconds", 15, F.to_timestamp(F.lit("2026-06-01 00:00:00")))
+    due = upsert.due_candidates(orders, "PAID", "60 seconds", 15, F.to_timestamp(F.lit("2026-06-01 00:00:00")), "order_id")
     return due.select("order_id", "updated_at")
 
 

@@ -135,3 +135,36 @@ SELECT *, n_failures = 0 AS passed FROM f""",
     "status_candidates": f"{_M} SELECT order_id, updated_at FROM e_orders WHERE status = 'PAID' AND updated_at <= TIMESTAMP '2026-06-01 00:00:00' - INTERVAL 60 SECOND ORDER BY updated_at LIMIT 15",
     "low_stock_priority": "SELECT p_partkey, p_size FROM part ORDER BY (p_size < 5) DESC, p_partkey LIMIT 5",
 }
+
+
+def _declared() -> str:
+    from tidemark.operators.quality import DECLARED
+
+    names = {"fact_orders": "f_orders", "transitions": "f_steps", "items": "f_items", "orders": "e_orders", "products": "e_products"}
+    parts = []
+    for name, column, kind, argument in DECLARED:
+        t = names[name]
+        if kind == "not_null":
+            rows = f"SELECT 1 FROM {t} WHERE {column} IS NULL"
+        elif kind == "unique":
+            rows = f"SELECT {column} FROM {t} WHERE {column} IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
+        elif kind == "accepted_values":
+            rows = f"SELECT {column} FROM {t} WHERE {column} NOT IN ({', '.join(map(repr, argument))}) GROUP BY 1"
+        else:
+            rows = f"SELECT 1 FROM {t} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {argument[1]} FROM {names[argument[0]]} WHERE {argument[1]} IS NOT NULL)"
+        parts.append(f"SELECT '{name}.{column} {kind}' AS test_name, (SELECT count(*) FROM ({rows})) AS n_failures")
+    return f"{_M}{_FACTS}, d AS ({' UNION ALL '.join(parts)}) SELECT *, n_failures = 0 AS passed FROM d"
+
+
+ORACLES |= {
+    "gold_fact_orders": f"{_M}{_FACTS} SELECT * FROM f_orders",
+    "gold_orders_of_a_month": f"{_M}{_FACTS} SELECT order_id, order_status, total_amount FROM f_orders WHERE order_year = 2026 AND order_month = 1",
+    "gold_dashboards": f"{_M}{_FACTS} SELECT order_status, count(*) AS total_orders, CAST(sum(total_amount) AS DECIMAL(38,4)) AS revenue FROM f_orders GROUP BY 1",
+    "dq_declared": _declared(),
+    "dq_shipped_before_order": "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate",
+    "dq_negative_days": "SELECT * FROM (SELECT l_orderkey, l_linenumber, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE days < 0",
+    "active_products": f"{_M} SELECT product_id, status FROM e_products WHERE is_active",
+    "preview": "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 100",
+    "set_operations": "SELECT c_custkey AS k, true AS has_orders FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, false FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)",
+    "status_candidates": f"{_M} SELECT order_id, updated_at FROM e_orders WHERE status = 'PAID' AND updated_at <= TIMESTAMP '2026-06-01 00:00:00' - INTERVAL 60 SECOND ORDER BY updated_at, order_id LIMIT 15",
+}

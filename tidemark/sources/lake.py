@@ -9,11 +9,10 @@ from __future__ import annotations
 
 import json
 import posixpath
-import re
 import time
 import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from enum import Enum
 
 import pyarrow.fs as pafs
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.sources.files import open_fs, publish_json, read_json
+from tidemark.sources.files import open_fs, publish_version, read_version
 
 
 class FileFormat(Enum):
@@ -53,60 +52,54 @@ class Partitioning(Enum):
     COLUMN = "column"
 
 
-@dataclass(frozen=True)
-class Location:
-    """``scheme://bucket/key``; the scheme in lower case, no leading or doubled slashes, a trailing one kept."""
+class Location(str):
+    """An address ``scheme://bucket/key`` in one spelling, which is what it is as text.
 
-    scheme: str
-    bucket: str
-    key: str
+    The scheme is in lower case, the key has no leading, doubled or ``.``
+    parts; one that names a folder ends in a slash.
+    """
 
-    def __post_init__(self) -> None:
-        scheme, bucket, key = self.scheme.strip().lower(), self.bucket.strip(), self.key.strip()
-        for name, value in (("scheme", scheme), ("bucket", bucket), ("key", key)):
-            if not value:
-                raise ValueError(f"a location needs a {name}")
-        folder = key.endswith("/")
-        parts = [p for p in key.split("/") if p not in ("", ".")]
-        object.__setattr__(self, "scheme", scheme)
-        object.__setattr__(self, "bucket", bucket)
-        object.__setattr__(self, "key", "/".join(parts) + ("/" if folder else ""))
+    __slots__ = ()
+
+    def __new__(cls, text: str) -> Location:
+        head, mark, rest = text.strip().partition("://")
+        bucket, *parts = rest.split("/")
+        kept = [p for p in parts if p.strip(". ")]
+        if not (mark and head.strip() and bucket.strip() and kept):
+            raise ValueError(f"not scheme://bucket/key: {text!r}")
+        tail = "" if parts[-1].strip(". ") else "/"
+        return super().__new__(cls, f"{head.strip().lower()}://{bucket.strip()}/{'/'.join(kept)}{tail}")
 
     @classmethod
     def parse(cls, uri: str) -> Location:
-        m = re.fullmatch(r"([^:/]+)://([^/]+)/*(.*)", uri.strip())
-        if not m:
-            raise ValueError(f"not a storage address: {uri!r}")
-        return cls(*m.groups())
+        return cls(uri)
 
     @property
     def uri(self) -> str:
-        return f"{self.scheme}://{self.bucket}/{self.key}"
+        return str(self)
 
     @property
-    def name(self) -> str:
-        return posixpath.basename(self.key.rstrip("/"))
+    def scheme(self) -> str:
+        return self.partition("://")[0]
 
     @property
-    def parent(self) -> str:
-        head = posixpath.dirname(self.key.rstrip("/"))
-        return f"{head}/" if head else ""
+    def key(self) -> str:
+        return self.partition("://")[2].partition("/")[2]
 
+    @property
+    def name(self) -> str:
+        return self.rstrip("/").rpartition("/")[2]
 
-@dataclass(frozen=True)
-class Retention:
-    """Days to keep; 0 is for ever."""
-
-    days: int = 0
-
-    def __post_init__(self) -> None:
-        if self.days < 0:
-            raise ValueError("retention cannot be negative")
+    @property
+    def parent(self) -> str:
+        """The key of the folder that holds it; empty at the top of the bucket."""
+        above, slash, _ = self.key.rstrip("/").rpartition("/")
+        return above + slash
 
 
 @dataclass(frozen=True)
 class Dataset:
-    """A logical dataset and how it is stored."""
+    """A table of a zone and how it is stored; ``keep_days`` 0 is for ever."""
 
     zone: str
     domain: str
@@ -116,12 +109,11 @@ class Dataset:
     partitioning: Partitioning = Partitioning.NONE
     partition_columns: tuple[str, ...] = ()
     hash_partitions: int = 16
-    retention: Retention = field(default_factory=Retention)
-    tags: Mapping[str, str] = field(default_factory=dict)
+    keep_days: int = 0
 
-    @property
-    def qualified_name(self) -> str:
-        return f"{self.zone}.{self.domain}.{self.name}"
+    def __post_init__(self) -> None:
+        if self.keep_days < 0:
+            raise ValueError("a table cannot be kept for less than no days")
 
     def path(self, partitions: Mapping[str, str | int] | None = None, filename: str = "") -> str:
         """``zone/domain/name/k=v/.../filename``."""
@@ -138,8 +130,8 @@ class Dataset:
         elif self.partitioning is Partitioning.DATE:
             df = df.withColumn("part_date", F.to_date(columns[0]))
             columns = ["part_date"]
-        # Rows of a partition meet before the write: few files per partition.
-        writer = (df.repartition(*columns) if columns else df).write.format(self.file_format.value).mode(mode.value)
+        # Rows of a partition meet before the write, so it has few files; a large one is split over tasks.
+        writer = (df.hint("rebalance", *columns) if columns else df).write.format(self.file_format.value).mode(mode.value)
         if self.file_format is not FileFormat.DELTA:
             codec = self.compression.value
             if self.file_format in (FileFormat.CSV, FileFormat.JSON) and self.compression is Compression.SNAPPY:
@@ -203,6 +195,15 @@ class ObjectStore:
         return {"size": info.size, "modified": info.mtime}
 
 
+def merged_schema(one: StructType, other: StructType) -> StructType:
+    """The fields of both, in order of appearance; a field of two types is an error."""
+    known = {f.name.lower(): f for f in one.fields}
+    for f in other.fields:
+        if (was := known.get(f.name.lower())) and was.dataType != f.dataType:
+            raise ValueError(f"column {f.name!r} is {was.dataType.simpleString()} in the table and {f.dataType.simpleString()} in the part")
+    return StructType([*one.fields, *(f for f in other.fields if f.name.lower() not in known)])
+
+
 # --- Versioned tables ----------------------------------------------------------------------
 
 
@@ -214,33 +215,44 @@ class Detail:
 
 
 class VersionedTable:
-    """A table of immutable parts named by a manifest."""
+    """A table of immutable parts named by a manifest.
+
+    Appended parts may add columns; a column that a part lacks is null there,
+    one of another type is refused. A batch is written under a key once: again
+    under the same key it replaces itself, and if a compaction has taken its part
+    up it is known and left as it is. Of two writers at once one gets a ConflictError.
+    """
 
     def __init__(self, spark: SparkSession, path: str, file_format: str = "parquet") -> None:
         self.spark, self.path, self.format = spark, path.rstrip("/"), file_format
 
     @property
     def state(self) -> dict:
-        return read_json(f"{self.path}/CURRENT") or {"version": 0, "parts": [], "schema": None}
+        return read_version(self.path) or {"version": 0, "parts": [], "schema": None, "covered": []}
 
     def exists(self) -> bool:
         return self.state["version"] > 0
 
     def write(self, df: DataFrame, mode: SaveMode | str = SaveMode.OVERWRITE, key: str | None = None) -> int:
-        """Write a new part and publish it; ``key`` names the part, so that a repeated write replaces itself."""
+        """Write a new part and publish it; ``key`` names the batch it holds."""
         mode, state = SaveMode(mode), self.state
         if state["version"] and mode is SaveMode.IGNORE:
             return state["version"]
         if state["version"] and mode is SaveMode.ERROR:
             raise FileExistsError(self.path)
-        part = f"part-{key or uuid.uuid4().hex}"
+        append = mode is SaveMode.APPEND
+        if append and key is not None and key in state["covered"]:
+            return state["version"]
+        schema = merged_schema(StructType.fromJson(json.loads(state["schema"])), df.schema) if append and state["schema"] else df.schema
+        # A file is never written twice: readers of the version before still have theirs.
+        part = f"part-{key or ''}-{uuid.uuid4().hex}"
         df.write.format(self.format).mode("overwrite").save(f"{self.path}/{part}")
-        kept = [] if mode is not SaveMode.APPEND else [p for p in state["parts"] if p != part]
-        return self._publish([*kept, part], df.schema)
+        kept = [p for p in state["parts"] if key is None or not p.startswith(f"part-{key}-")] if append else []
+        return self._publish(state, [*kept, part], schema, state["covered"] if append else [])
 
-    def _publish(self, parts: list[str], schema: StructType) -> int:
-        version = self.state["version"] + 1
-        publish_json(self.spark, f"{self.path}/CURRENT", {"version": version, "parts": parts, "schema": schema.json()})
+    def _publish(self, state: dict, parts: list[str], schema: StructType, covered: list[str]) -> int:
+        version = state["version"] + 1
+        publish_version(self.spark, self.path, {"version": version, "parts": parts, "schema": schema.json(), "covered": covered})
         return version
 
     def schema(self) -> StructType | None:
@@ -277,7 +289,10 @@ class VersionedTable:
         wanted = max(1, -(-before.size // target_bytes))
         if before.files <= wanted:
             return before.files, before.files
-        self.write(self.read().coalesce(wanted), SaveMode.OVERWRITE)
+        state, part = self.state, f"part--{uuid.uuid4().hex}"
+        self.read().coalesce(wanted).write.format(self.format).save(f"{self.path}/{part}")
+        keys = [k for p in state["parts"] if (k := p.removeprefix("part-").rpartition("-")[0])]
+        self._publish(state, [part], self.schema(), sorted({*state["covered"], *keys}))
         return before.files, self.detail().files
 
     def vacuum(self, retention_hours: float = 168) -> int:
