@@ -68,6 +68,8 @@ COVER = 0.1
 SPREAD = 0.1
 #: Languages of fewer texts are taken together.
 LEAST_TEXTS = 50
+#: Medians up to which they are sent to every task; more are joined by shuffling.
+SENT_CLASSES = 20_000
 #: Of a text's function words, the share above which one belongs to names.
 MOST = 0.5
 #: Function words per word below which a text is of an unknown language.
@@ -77,7 +79,7 @@ _LINK = re.compile(r"<a\s[^>]*>[^<]*</a>|\[[^\]]*\]\([^)]*\)|(?:https?:)?//[^\s|
 _BREAK = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]|<br\s*/?>|</?(?:p|div|li|ul|ol|h\d|td|tr|table)\b[^>]*>|(?<=[.!?…])\s+", re.I)
 _MARKUP = re.compile(r"<[^>]*>|&\w+;")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)*")
-_TOKEN = re.compile(r"[^\W_]+|[^\w\s]")
+_TOKEN = re.compile(r"[^\W_]+|[^\w\s]|\n")
 _JSON = re.compile(r'"[\w ]+"\s*:|^[\s{}\[\],]+$')
 _UNUSUAL = re.compile(r"[^A-Za-zÀ-ɏ0-9\s.,;:!?#|/\\·•»>›\-–—()\[\]'’\"“”*+&@~_=]")
 _DIGIT = re.compile(r"\d")
@@ -101,7 +103,7 @@ def _unit_kind(raw: str, rest: str, words: list[str], links: int, dominating: se
     size = len(raw.strip())
     if links >= 0.5 * size:
         return "link"
-    if _JSON.search(raw):
+    if ('"' in raw or raw.lstrip()[0] in "{}[],") and _JSON.search(raw):
         return "data"
     if not words:
         return "none"
@@ -112,10 +114,9 @@ def _unit_kind(raw: str, rest: str, words: list[str], links: int, dominating: se
     if not plain and len(_UNUSUAL.findall(rest)) > 0.07 * len(rest) and _scripts(rest) > 0.07 * len(rest):
         return "odd"
     n = len(words)
-    numbers = len([w for w in words if not w.isalpha() and _DIGIT.search(w)])
-    if numbers and numbers >= 0.12 * n:
+    if _DIGIT.search(rest) and len([w for w in words if not w.isalpha() and _DIGIT.search(w)]) >= max(1, 0.12 * n):
         return "data"
-    function = len([w for w in words if w in functional])
+    function = sum(map(functional.__contains__, words))
     if dominating:
         repeated = Counter([w for w in words if w in dominating])
         if sum(repeated.values()) >= 0.3 * n and (not function or max(repeated.values()) >= 2):
@@ -127,18 +128,24 @@ def _links(unit: str) -> list[str]:
     return _LINK.findall(unit) if "/" in unit or "](" in unit or "ww." in unit.lower() else []
 
 
-def _shape(rest: str, functional: frozenset[str], known: dict[str, str]) -> str:
-    """Links, numbers and content words as one symbol each; ``rest`` has marks for its links, ``known`` remembers symbols."""
-    out = []
-    for token in _TOKEN.findall(rest):
-        symbol = known.get(token)
-        if symbol is None:
-            low = token.lower()
-            symbol = "L" if token == _MARK else token if not token[0].isalnum() else low if low in functional else "0" if not token.isalpha() and _DIGIT.search(token) else "w"
-            if len(known) < 200_000:
-                known[token] = symbol
-        out.append(symbol)
-    return " ".join(out)
+class _Symbols(dict):
+    """Of each token its symbol in the shape, remembered up to a bound."""
+
+    def __init__(self, functional: frozenset[str], bound: int = 200_000) -> None:
+        super().__init__({"\n": "\n", _MARK: "L"})
+        self.functional, self.bound = functional, bound
+
+    def __missing__(self, token: str) -> str:
+        low = token.lower()
+        symbol = token if not token[0].isalnum() else low if low in self.functional else "0" if not token.isalpha() and _DIGIT.search(token) else "w"
+        if len(self) < self.bound:
+            self[token] = symbol
+        return symbol
+
+
+def _shape(rest: str, symbols: _Symbols) -> str:
+    """Links, numbers and content words as one symbol each; ``rest`` has marks for its links."""
+    return " ".join(map(symbols.__getitem__, _TOKEN.findall(rest))).replace(" \n ", "\n")
 
 
 def _packed(text: str) -> int:
@@ -146,9 +153,8 @@ def _packed(text: str) -> int:
     return max(1, len(zlib.compress(text.encode("utf-8", "replace"), 6)) - 8)
 
 
-def measure(text: str, function_words: frozenset[str], known: dict[str, str] | None = None) -> list[tuple[int, int, int, int, int]]:
+def measure(text: str, function_words: frozenset[str], symbols: _Symbols | None = None) -> list[tuple[int, int, int, int, int]]:
     """(chars, raw bytes, shape bytes, sentences, spam chars) of each block of a text."""
-    known = {} if known is None else known
     units = []
     counts: Counter = Counter()
     total = 0
@@ -169,6 +175,7 @@ def measure(text: str, function_words: frozenset[str], known: dict[str, str] | N
     frequent = {w for w, c in own.items() if c >= 15 and c >= 0.2 * total}
     keywords = {w for u in units for w, after in zip(u[2], u[2][1:]) if w == after and w in frequent} if frequent else frequent
     functional = function_words - keywords if keywords else function_words
+    symbols = _Symbols(functional) if keywords or symbols is None else symbols
     in_all = sum(own.values())
     of_names = {w for w, c in own.items() if c >= 3 and c >= MOST * in_all}
     listed = functional - of_names if of_names else functional
@@ -180,19 +187,19 @@ def measure(text: str, function_words: frozenset[str], known: dict[str, str] | N
             judged = [(u, "sentence" if k == "tags" else k) for u, k in judged]
     spam = sum(len(u[0].strip()) for u, k in judged if k in _SPAM)
     if spam < SHARE * sum(len(u[0].strip()) for u, _ in judged):
-        return _blocks(judged, functional, known)
+        return _blocks(judged, symbols)
     rest, prose = [], []
     for spammy, stretch in groupby(judged, lambda x: x[1] in _SPAM):
         held = list(stretch)
         (rest if spammy or sum(map(_ends, held)) < STRETCH else prose).extend(held)
-    return _blocks(rest, functional, known) + _blocks(prose, functional, known)
+    return _blocks(rest, symbols) + _blocks(prose, symbols)
 
 
 def _ends(unit: tuple) -> bool:
     return unit[1] == "sentence" and bool(_END.search(unit[0][0]))
 
 
-def _blocks(judged: list[tuple], functional: frozenset[str], known: dict[str, str]) -> list[tuple[int, int, int, int, int]]:
+def _blocks(judged: list[tuple], symbols: _Symbols) -> list[tuple[int, int, int, int, int]]:
     """Units with their kinds to blocks of about ``BLOCK`` characters."""
     blocks, held = [], []
 
@@ -200,7 +207,7 @@ def _blocks(judged: list[tuple], functional: frozenset[str], known: dict[str, st
         whole = "\n".join(u[0] for u, _ in held)
         spam = sum(len(u[0].strip()) for u, k in held if k in _SPAM)
         chars = sum(len(u[0].strip()) for u, _ in held)
-        blocks.append((chars, _packed(whole), _packed("\n".join(_shape(u[1], functional, known) for u, _ in held)), sum(map(_ends, held)), spam))
+        blocks.append((chars, _packed(whole), _packed(_shape("\n".join(u[1] for u, _ in held), symbols)), sum(map(_ends, held)), spam))
         held.clear()
 
     size = 0
@@ -219,12 +226,12 @@ _BLOCKS = pa.list_(pa.struct([("size_class", pa.int32()), ("chars", pa.int64()),
 
 
 def _measure_batches(batches: Iterator[pa.RecordBatch], function_words: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, str] = {}
+    symbols = _Symbols(function_words)
     for b in batches:
         out = []
         for text in b.column(2).to_pylist():
             found = []
-            for chars, raw, shape, ends, spam in measure(text, function_words, known):
+            for chars, raw, shape, ends, spam in measure(text, function_words, symbols):
                 found.append({"size_class": int(2 * math.log2(max(min(chars, BLOCK), 1))), "chars": chars, "raw": raw / max(chars, 1), "shape": shape / max(chars, 1), "sentences": ends, "spam": spam})
             out.append(found)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, _BLOCKS)], ["key", "lang", "blocks"])
@@ -238,13 +245,14 @@ def learn_function_words(rows: DataFrame) -> DataFrame:
     words the shorter come first.
     """
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}'’]+"))
-    each = rows.select("lang", F.explode(words).alias("word")).where(F.length("word") > 0)
-    by_lang = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
-    kind = by_lang.select("lang", "texts", F.when(F.col("texts") >= LEAST_TEXTS, F.col("lang")).otherwise("\0few").alias("kind"))
-    sizes = kind.groupBy("kind").agg(F.sum("texts").alias("texts"))
-    counted = each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(kind.select("lang", "kind")), "lang").groupBy("kind", "word").agg(F.sum("df").alias("df"))
+    # Each text also has one mark, which counts the texts.
+    each = rows.select("lang", F.explode(F.array_append(words, F.lit(_MARK))).alias("word")).where(F.length("word") > 0)
+    by_lang = materialize(each.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("df")), "words")
+    kind = by_lang.where(F.col("word") == _MARK).select("lang", F.when(F.col("df") >= LEAST_TEXTS, F.col("lang")).otherwise("\0few").alias("kind"))
+    kinds = by_lang.join(kind, "lang").groupBy("kind", "word").agg(F.sum("df").alias("df"))
+    counted, sizes = kinds.where(F.col("word") != _MARK), kinds.where(F.col("word") == _MARK).select("kind", F.col("df").alias("texts"))
     total = counted.groupBy("kind").agg(F.sum("df").alias("total"))
-    common = counted.join(F.broadcast(sizes), "kind").where(F.col("df") >= F.greatest(F.lit(2), SPREAD * F.col("texts"))).join(F.broadcast(total), "kind")
+    common = counted.join(sizes, "kind").where(F.col("df") >= F.greatest(F.lit(2), SPREAD * F.col("texts"))).join(total, "kind")
     before = Window.partitionBy("kind").orderBy(F.desc("df"), F.length("word"), "word").rowsBetween(Window.unboundedPreceding, -1)
     return common.withColumn("sum", F.coalesce(F.sum("df").over(before), F.lit(0))).where(F.col("sum") < COVER * F.col("total")).select("word").distinct()
 
@@ -262,7 +270,10 @@ def stuffed_pages(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     # The usual ratios: one row per language and length class, of which there are 22.
     medians = [F.percentile_approx(c, 0.5, 1000) for c in ("raw", "shape")]
     usual = blocks.groupBy("lang", "size_class").agg(*[m.alias(a) for m, a in zip(medians, ("usual_raw", "usual_shape"))])
-    judged = blocks.join(F.broadcast(usual), ["lang", "size_class"])
+    usual = materialize(usual, "usual-ratios")
+    # As many rows as languages, times 22; sent to all tasks if they are few.
+    few = usual.count() <= SENT_CLASSES
+    judged = blocks.join(F.broadcast(usual) if few else usual, ["lang", "size_class"])
     # A class of few blocks, or mostly of spam, has no say: those of all languages, of it and its neighbours in length, are the floor.
     wide = blocks.withColumn("size_class", F.explode(F.array(F.col("size_class") - 1, F.col("size_class"), F.col("size_class") + 1)))
     overall = wide.groupBy("size_class").agg(*[m.alias(a) for m, a in zip(medians, ("all_raw", "all_shape"))])
