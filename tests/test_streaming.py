@@ -1,8 +1,10 @@
 import datetime as dt
 import json
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import metrics
 from tidemark.session import scratch
 from tidemark.sources.lake import VersionedTable
 from tidemark.streaming import cdc
@@ -60,3 +62,18 @@ def test_stream_of_files_continues_from_its_checkpoint(spark):
 def test_change_watch(spark):
     w = cdc.ChangeWatch(spark, scratch(spark, "watch") + "/mark")
     assert [w.fires(v) for v in (None, 5.0, 5.0, 7.0, 2.0, 2.0)] == [False, True, False, True, True, False]
+
+
+def test_unknown_operations_and_wrong_types_are_malformed(spark):
+    row = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    envelope = '{{"payload": {{"op": "{}", "source": {{"table": "t", "ts_ms": 5}}, "after": {{"id": {}, "name": "a"}}}}}}'
+    texts = [envelope.format(*x) for x in (("c", 1), ("x", 2), ("u", '"three"'), ("d", 4))]
+    got = cdc.decode(spark.createDataFrame([(t,) for t in texts], "value string"), row).collect()
+    assert [r.malformed for r in got] == [None, texts[1], texts[2], None]
+
+
+def test_alerts_that_last(spark):
+    rows = [("a", 0, 9), ("a", 60, 9), ("a", 300, 9), ("b", 0, 9), ("b", 200, 1), ("b", 290, 9), ("c", 250, 9), ("d", 0, 9)]
+    df = spark.createDataFrame(rows, "s string, at long, v long").withColumn("ts", F.timestamp_seconds("at"))
+    got = metrics.lasting(df, ["s"], "ts", F.col("v") > 5, F.timestamp_seconds(F.lit(301)), 240).select("s", F.unix_seconds("since").alias("since")).collect()
+    assert [(r.s, r.since) for r in got] == [("a", 0)]

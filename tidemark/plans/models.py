@@ -34,7 +34,7 @@ def model(*needs: str) -> Callable:
 
 
 def build(target: str, sources: Mapping[str, DataFrame], models: Mapping[str, Model] | None = None) -> DataFrame:
-    """A model on given sources; only what it needs is built, each once, nothing is run."""
+    """A model on given sources; only what it needs is built, each once. Nothing is run but the borders of the tiers of ``fact_orders``."""
     known = _MODELS if models is None else models
     graph, todo = {}, [target]
     while todo:
@@ -80,12 +80,19 @@ def int_order_items_enriched(items: DataFrame, orders: DataFrame, products: Data
 
 @model("orders", "order_items", "payments", "order_status_history")
 def fact_orders(orders: DataFrame, items: DataFrame, payments: DataFrame, history: DataFrame) -> DataFrame:
-    """One row per order; lines and deliveries are aggregated before they are joined."""
+    """One row per order with its tier by amount."""
+    tiered = ntile(orders, "total_amount", "order_id", 3, "order_value_tier")
+    return fact_orders_untiered(tiered, items, payments, history)
+
+
+@model("orders", "order_items", "payments", "order_status_history")
+def fact_orders_untiered(orders: DataFrame, items: DataFrame, payments: DataFrame, history: DataFrame) -> DataFrame:
+    """One row per order; lines and deliveries are aggregated before they are joined. What needs no tier builds on this one."""
     lines = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("item_count"), F.sum("quantity").alias("total_quantity"))
     delivered = history.where(F.col("current_status") == "DELIVERED").groupBy("order_id").agg(F.min("changed_at").alias("delivered_at"))
     paid = payments.select("order_id", "payment_id", F.col("status").alias("payment_status"), "payment_method_id", "paid_at")
-    tiered = ntile(orders.drop("processed_at", "processing_date").withColumnRenamed("status", "order_status"), "total_amount", "order_id", 3, "order_value_tier")
-    joined = tiered.join(lines, "order_id", "left").join(paid, "order_id", "left").join(delivered, "order_id", "left")
+    own = orders.drop("processed_at", "processing_date").withColumnRenamed("status", "order_status")
+    joined = own.join(lines, "order_id", "left").join(paid, "order_id", "left").join(delivered, "order_id", "left")
     none = F.lit(0).cast("bigint")
     return joined.withColumns({"item_count": F.coalesce("item_count", none), "total_quantity": F.coalesce("total_quantity", none), "order_year": F.year("created_at").cast("bigint"), "order_month": F.month("created_at").cast("bigint")})
 
@@ -106,12 +113,12 @@ def fact_order_status_transitions(history: DataFrame, orders: DataFrame) -> Data
 STATUS_PLACE = {"PENDING": 1, "PAID": 2, "PROCESSING": 3, "SHIPPED": 4, "DELIVERED": 5, "CANCELLED": 6}
 
 
-@model("fact_orders")
+@model("fact_orders_untiered")
 def dash_total_orders(facts: DataFrame) -> DataFrame:
     return facts.agg(F.count(F.lit(1)).alias("total_orders"))
 
 
-@model("fact_orders")
+@model("fact_orders_untiered")
 def dash_orders_by_status(facts: DataFrame) -> DataFrame:
     place = F.lit(None).cast("int")
     for status, n in STATUS_PLACE.items():
@@ -131,7 +138,7 @@ def dash_top_sellers(items: DataFrame) -> DataFrame:
     return sold.orderBy(F.col("total_orders").desc(), F.col("seller_id").asc_nulls_last()).limit(10)
 
 
-@model("fact_orders")
+@model("fact_orders_untiered")
 def dash_average_order_value(facts: DataFrame) -> DataFrame:
     return facts.agg(F.avg("total_amount").cast("decimal(19,4)").alias("average_order_value"))
 
@@ -139,7 +146,7 @@ def dash_average_order_value(facts: DataFrame) -> DataFrame:
 # --- Reported indicators ---------------------------------------------------------------
 
 
-@model("fact_orders")
+@model("fact_orders_untiered")
 def kpi_status_rate(facts: DataFrame) -> DataFrame:
     """Share of cancelled orders and mean hours to delivery."""
     hours = F.timestamp_diff("SECOND", F.col("created_at"), F.col("delivered_at")) / 3600

@@ -88,6 +88,7 @@ _MODEL_SQL = {
     "dim_products": "SELECT p.product_id, p.seller_id, p.category_id, p.sku, p.name AS product_name, p.description, p.brand, p.price, p.weight, p.height, p.width, p.length, p.status AS product_status, p.is_active, p.created_at, p.updated_at, p.deleted_at, s.company_name AS seller_name, s.is_active AS seller_is_active, c.name AS category_name FROM e_products p LEFT JOIN e_sellers s ON p.seller_id = s.seller_id LEFT JOIN e_categories c ON p.category_id = c.category_id",
     "int_order_items_enriched": "SELECT * FROM f_items",
     "fact_orders": "SELECT * FROM f_orders",
+    "fact_orders_untiered": "SELECT * EXCLUDE (order_value_tier) FROM f_orders",
     "fact_order_status_transitions": "SELECT * FROM f_steps",
     "dash_total_orders": "SELECT count(*) AS total_orders FROM f_orders",
     "dash_orders_by_status": "SELECT order_status, count(*) AS total_orders, CASE order_status WHEN 'PENDING' THEN 1 WHEN 'PAID' THEN 2 WHEN 'PROCESSING' THEN 3 WHEN 'SHIPPED' THEN 4 WHEN 'DELIVERED' THEN 5 WHEN 'CANCELLED' THEN 6 END AS status_order FROM f_orders GROUP BY order_status",

@@ -53,9 +53,12 @@ class Catalog:
         return [d.name for d in self.spark.catalog.listDatabases()]
 
     def register(self, name: str, path: str, schema: StructType, file_format: str = "parquet") -> bool:
-        """Create an external table; False if it was there."""
-        columns = ", ".join(f"`{n}` {t}" for n, t in catalog_columns(schema))
+        """Create an external table; False if it was there, an error if it was there with other columns."""
+        wanted = catalog_columns(schema)
+        columns = ", ".join(f"`{n}` {t}" for n, t in wanted)
         if self.table_exists(name):
+            if sorted(self.columns(name)) != sorted((n, t) for n, t in wanted):
+                raise ValueError(f"{name} is registered with other columns: {self.columns(name)}")
             return False
         self.spark.sql(f"CREATE TABLE {_q(name)} ({columns}) USING {file_format} LOCATION '{path}'")
         return True

@@ -21,6 +21,8 @@ from tidemark.sources.files import publish_json, read_json
 from tidemark.sources.lake import SaveMode, VersionedTable
 
 OPS = ("r", "c", "u", "d")
+#: Operations without a row: truncate and message.
+NO_ROW = ("t", "m")
 
 
 def _wire_type(t: T.DataType) -> T.DataType:
@@ -38,7 +40,7 @@ def envelope_schema(row: T.StructType) -> T.StructType:
     wire = T.StructType([T.StructField(f.name, _wire_type(f.dataType)) for f in row.fields])
     source = T.StructType([T.StructField("table", T.StringType()), T.StructField("ts_ms", T.LongType())])
     payload = T.StructType([T.StructField("op", T.StringType()), T.StructField("source", source), T.StructField("after", wire), T.StructField("before", wire)])
-    return T.StructType([T.StructField("payload", payload)])
+    return T.StructType([T.StructField("payload", payload), T.StructField("_unread", T.StringType())])
 
 
 def to_scale(value: Column, scale: int, precision: int) -> Column:
@@ -60,13 +62,13 @@ def decode(messages: DataFrame, row: T.StructType, value: str = "value") -> Data
     """entity, op, source_ts_ms, record (struct or null), malformed (text or null).
 
     The row image is ``after``, else ``before``; with neither, record and
-    source_ts_ms are null. Malformed: no JSON, or without payload, operation,
-    table, or time of a row.
+    source_ts_ms are null. Malformed: no JSON, or without payload, one of the
+    known operations, table, or time of a row, or with a field that is not of its type.
     """
     text = F.col(value).cast("string")
-    parsed = messages.withColumn("e", F.from_json(text, envelope_schema(row)))
+    parsed = messages.withColumn("e", F.from_json(text, envelope_schema(row), {"columnNameOfCorruptRecord": "_unread"}))
     image = F.coalesce("e.payload.after", "e.payload.before")
-    ok = F.col("e.payload.op").isNotNull() & F.col("e.payload.source.table").isNotNull() & (image.isNull() | F.col("e.payload.source.ts_ms").isNotNull())
+    ok = F.col("e._unread").isNull() & F.col("e.payload.op").isin(*OPS, *NO_ROW) & F.col("e.payload.source.table").isNotNull() & (image.isNull() | F.col("e.payload.source.ts_ms").isNotNull())
     valid = F.coalesce(ok, F.lit(False))
     record = F.when(valid & image.isNotNull(), F.struct(*[_logical(image.getField(f.name), f.dataType).alias(f.name) for f in row.fields]))
     return parsed.select(
