@@ -15,8 +15,8 @@ whole corpus; a block far below it is extremely redundant.
 A text's redundant blocks are confirmed by the density of sentences: ends of
 sentences per character, where an end counts only if the unit reads like a sentence
 (it has function words and does not repeat the text's dominating words). A function
-word that is most of a text's function words belongs to names there ("caixa de som")
-and counts only in units that end like sentences; a text without known function
+word between two dominating words is part of a keyword ("caixa de som"); one that is
+most of a text's function words belongs to names there and counts only in units that end like sentences; a text without known function
 words and stuffed units is of an unknown language and has sentences if it has as
 many ends of them. In a text
 that may be a case, prose that stands by itself (``STRETCH`` sentences and more
@@ -83,6 +83,8 @@ _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|\n")
 _JSON = re.compile(r'"[\w ]+"\s*:|^[\s{}\[\],]+$')
 _UNUSUAL = re.compile(r"[^A-Za-zÀ-ɏ0-9\s.,;:!?#|/\\·•»>›\-–—()\[\]'’\"“”*+&@~_=]")
 _DIGIT = re.compile(r"\d")
+#: The box of a step to be ticked off.
+_TASK = re.compile(r"\s*[-*]?\s*\[[ xX]\]")
 _MARK = "\x00"
 _SPAM = frozenset(["link", "stuffed", "tags"])
 _END = re.compile(r"[.!?…][\"'”)]*\s*$")
@@ -98,12 +100,13 @@ def _scripts(text: str) -> int:
     return len([c for c in unusual if not (c.isalpha() or unicodedata.combining(c))]) + len(letters) - named.most_common(1)[0][1]
 
 
-def _unit_kind(raw: str, rest: str, words: list[str], links: int, dominating: set[str], functional: frozenset[str], plain: bool = False) -> str:
+def _unit_kind(raw: str, rest: str, words: list[str], links: int, dominating: set[str], functional: frozenset[str], plain: bool = False, names: frozenset[str] | set[str] = frozenset()) -> str:
     """One of link, data, none, odd, stuffed, sentence, tags; ``plain`` text has no unusual characters."""
     size = len(raw.strip())
     if links >= 0.5 * size:
         return "link"
-    if ('"' in raw or raw.lstrip()[0] in "{}[],") and _JSON.search(raw):
+    first = raw.lstrip()[0]
+    if ('"' in raw or first in "{}[],") and _JSON.search(raw) or first in "-*[" and _TASK.match(raw):
         return "data"
     if not words:
         return "none"
@@ -117,9 +120,12 @@ def _unit_kind(raw: str, rest: str, words: list[str], links: int, dominating: se
     if _DIGIT.search(rest) and len([w for w in words if not w.isalpha() and _DIGIT.search(w)]) >= max(1, 0.12 * n):
         return "data"
     function = sum(map(functional.__contains__, words))
+    if function == 1 and n >= 6 and dominating:
+        # A single one between two keywords is part of their name.
+        function -= len([w for before, w, after in zip(words, words[1:], words[2:]) if w in functional and before in dominating and after in dominating])
     if dominating:
         repeated = Counter([w for w in words if w in dominating])
-        if sum(repeated.values()) >= 0.3 * n and (not function or max(repeated.values()) >= 2):
+        if sum(repeated.values()) >= 0.3 * n and (not function or max(repeated.values()) >= 2 or names and function < 0.15 * n and not any(w in functional and w not in names for w in words)):
             return "stuffed"
     return "sentence" if function and function >= 0.08 * n else "tags"
 
@@ -180,7 +186,7 @@ def measure(text: str, function_words: frozenset[str], symbols: _Symbols | None
     of_names = {w for w, c in own.items() if c >= 3 and c >= MOST * in_all}
     listed = functional - of_names if of_names else functional
     dominating = {w for w, c in counts.items() if c >= 4 and c >= 0.08 * total and w not in functional and not _DIGIT.search(w)}
-    judged = [(u, _unit_kind(*u, dominating, functional if listed is functional or _END.search(u[0]) else listed, plain)) for u in units]
+    judged = [(u, _unit_kind(*u, dominating, functional if listed is functional or _END.search(u[0]) else listed, plain, of_names)) for u in units]
     if total >= 20 and in_all < UNKNOWN * total and all(k != "stuffed" for _, k in judged):
         ends = len([u for u in units if len(u[2]) >= 3 and _END.search(u[0])])
         if ends > SENTENCES * sum(len(u[0].strip()) for u in units):
